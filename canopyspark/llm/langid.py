@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -144,34 +145,54 @@ def sample(rows: DataFrame, id_col: str, size: int) -> DataFrame:
     return rows if share == 1 else rows.where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")), F.lit(1 << 40)) < int(share * (1 << 40)))
 
 
+def best(texts: list[str | None], langs: list[str], matrix: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """The language of each text and its share of the posterior probability."""
+    if not langs:
+        return [UNKNOWN] * len(texts), np.zeros(len(texts))
+    total, n = scores(texts, matrix)
+    names = np.array([*langs, UNKNOWN], dtype=object)
+    score = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+    return names[np.where(n > 0, np.argmax(total, axis=1), len(langs))].tolist(), np.where(n > 0, score, 0.0)
+
+
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score); the score is the language's share of the posterior probability."""
+    """(doc_id, lang_pred, score) for every row of ``docs``."""
     langs, matrix = model
     shared = docs.sparkSession.sparkContext.broadcast(matrix)  # BUCKETS x languages, whatever the input
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = np.array([*langs, UNKNOWN], dtype=object)
         for batch in parts:
-            texts = batch.column(1).to_pylist()
-            if langs:
-                total, n = scores(texts, shared.value)
-                best = np.argmax(total, axis=1)
-                score = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-                best, score = np.where(n > 0, best, len(langs)), np.where(n > 0, score, 0.0)
-            else:
-                best, score = np.zeros(len(texts), dtype=int), np.zeros(len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[best], pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
+            names, score = best(batch.column(1).to_pylist(), langs, shared.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def fitted(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_rows: int) -> tuple[list[str], np.ndarray]:
+    """A model from about ``sample_rows`` rows with a language whose id is not in the held-out fold (crc32 mod 4 = 2)."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    usable = rows.where((fold("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    return train(sample(usable, "doc_id", sample_rows), "text", "lang")
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 20_000) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) for every row of ``docs``.
-
-    Learns from about ``sample_rows`` rows with a language whose id is not in the held-out fold (crc32 mod 4 = 2).
-    """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    usable = docs.where((fold("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    model = train(sample(usable, "doc_id", sample_rows), "text", "lang")
-    return predict(docs, model).select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    """(doc_id, held_out, lang_pred, score) for every row of ``docs``; see fitted() for what it learns from."""
+    found = predict(docs, fitted(docs, id_col, text_col, lang_col, sample_rows), id_col, text_col)
+    return found.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 20_000) -> DataFrame:
+    """The rows of ``docs`` that are in a language at all; same columns, a null language filled in."""
+    langs, matrix = fitted(docs, id_col, text_col, lang_col, sample_rows)
+    shared = docs.sparkSession.sparkContext.broadcast(matrix)
+    text_at, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            names, _ = best(batch.column(text_at).to_pylist(), langs, shared.value)
+            filled = pc.coalesce(batch.column(lang_at), pa.array(names, batch.column(lang_at).type))
+            batch = batch.set_column(lang_at, batch.schema.field(lang_at), filled)
+            yield batch.filter(pa.array([x != UNKNOWN for x in names], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema) if langs else docs

@@ -117,24 +117,26 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
 def redact(docs: DataFrame, text_col: str = "text", owner_col: str = "source", repo_col: str = "source", min_owners: int = 3, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every secret that is not a widely copied example replaced by ``mark``; same columns, same rows.
 
-    Of an assignment only the value goes. Overlapping spans become one mark.
+    Of an assignment only the value goes. Overlapping spans become one mark. ``docs`` must be a table that
+    is read twice in the same order, as files are: rows are told apart by their number.
     """
     columns = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc"), F.monotonically_increasing_id().alias("row"))
-    rows = rows.withColumn("text", F.coalesce(F.col("doc").getField(text_col).cast("string"), F.lit("")))
-    rows = cut(with_spans(rows, "text").drop("text"))
-    secret = judged(
-        rows.select("row", "spans", F.col("doc").getField(owner_col).cast("string").alias("owner"), F.col("doc").getField(repo_col).cast("string").alias("repo")), ["row"], "owner", "repo", min_owners
-    ).where(~F.col("shared"))
-    gone = secret.groupBy("row").agg(F.array_sort(F.collect_set(F.struct((F.col("span.end") - F.col("span.size")).alias("start"), F.col("span.end").alias("end")))).alias("gone"))
-    text = F.col("doc").getField(text_col)
+    row = "row number of a document"
+    number = docs.withColumn(row, F.monotonically_increasing_id())
+    rows = number.select(
+        F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
+        F.col(f"`{owner_col}`").cast("string").alias("owner"), F.col(f"`{repo_col}`").cast("string").alias("repo"), F.col(row),
+    )
+    rows = cut(with_spans(rows, "text").drop("text").where(F.size("spans") > 0))
+    secret = judged(rows, [row], "owner", "repo", min_owners).where(~F.col("shared"))
+    gone = secret.groupBy(row).agg(F.array_sort(F.collect_set(F.struct((F.col("span.end") - F.col("span.size")).alias("start"), F.col("span.end").alias("end")))).alias("secrets of a document"))
+    text, gaps = F.col(f"`{text_col}`"), F.col("secrets of a document")
     piece = lambda acc, x: F.when(
         x["start"] >= acc["at"], F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], text.substr(acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark)).alias("out"))
     ).otherwise(F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["out"].alias("out")))
-    cleaned = F.aggregate("gone", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), piece, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
-    some = rows.where(F.size("spans") > 0).join(gone, "row", "left").select("doc", F.when(F.col("gone").isNull(), text).otherwise(cleaned).alias("clean"))
-    none = rows.where(F.size("spans") == 0).select("doc", text.alias("clean"))
-    return some.unionByName(none).select(*[(F.col("clean") if c == text_col else F.col("doc").getField(c)).alias(c) for c in columns])
+    cleaned = F.aggregate(gaps, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), piece, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
+    told = number.join(gone, row, "left")
+    return told.select(*[(F.when(gaps.isNull(), text).otherwise(cleaned) if c == text_col else F.col(f"`{c}`")).alias(c) for c in columns])
 
 
 def duck_spans(kind: int) -> str:

@@ -57,17 +57,18 @@ def fingerprint(text: bytes | None, words: int = 3) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """(doc_id, fp): one row per row of ``docs``; fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, carry: str | None = None) -> DataFrame:
+    """(doc_id, fp): one row per row of ``docs``; fp is the fingerprint as a signed long. carry: a long column that goes along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
+            texts = batch.column(0).cast(pa.binary())
             found = np.fromiter((fingerprint(t.as_py(), words) for t in texts), dtype=np.uint64, count=len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), *batch.columns[1:]], names=["fp", *batch.schema.names[1:]])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    own = [F.col(id_col).cast("long").alias("doc_id"), *([F.col(carry).cast("long").alias(carry)] if carry else [])]
+    rows = docs.select(F.col(text_col).cast("string").alias("text"), *own)
+    return rows.mapInArrow(run, "fp long, doc_id long" + (f", {carry} long" if carry else ""))
 
 
 def links(nodes: DataFrame, hot: int = 64) -> DataFrame:
@@ -108,18 +109,33 @@ def links(nodes: DataFrame, hot: int = 64) -> DataFrame:
     return pairs.union(stars)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """(doc_id, fingerprint, component_id) per row of ``docs``.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, carry: str | None = None) -> DataFrame:
+    """(doc_id, fingerprint, component_id) per row of ``docs``, and the long column ``carry`` if one is named.
 
     Copies meet in one fingerprint before any link is sought, links are sought among distinct
     fingerprints only, and only fingerprints with a link enter the component rounds.
     """
-    rows = cut(fingerprints(docs, id_col, text_col, words))
+    rows = cut(fingerprints(docs, id_col, text_col, words, carry))
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
     labels = components(links(nodes.select("fp")))
     named = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
     return (
         rows.join(named.join(least, "label").select("fp", "component_id"), "fp")
-        .select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+        .select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", *([carry] if carry else []))
     )
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
+    """The rows of ``docs`` that have the smallest id of their group of near-duplicates, one for each group.
+
+    Null ids come last and rows of the same id in the order of the table. ``docs`` must be a table that is
+    read twice in the same order, as files are: rows are told apart by their number.
+    """
+    columns = docs.columns
+    number = docs.withColumn("row number of a document", F.monotonically_increasing_id())
+    rows = number.select(F.col("row number of a document").alias("doc_id"), F.col(f"`{id_col}`").cast("long").alias("own"), F.col(f"`{text_col}`").alias("text"))
+    groups = cut(near_duplicates(rows, words=words, carry="own"))
+    first = F.min(F.struct(F.col("own").isNull().alias("none"), F.col("own").alias("own"), F.col("doc_id").alias("row")))
+    kept = groups.groupBy("component_id").agg(first.alias("first")).select(F.col("first.row").alias("row number of a document"))
+    return number.join(kept, "row number of a document", "left_semi").select(*[F.col(f"`{c}`") for c in columns])

@@ -304,3 +304,15 @@ def detect(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """(doc_id, held_out, score, predicted) for every row of ``docs``."""
     model = train(docs, labels, id_col, text_col, label_col, sample_rows)
     return score(docs, model, id_col, text_col).select("doc_id", F.coalesce(fold("doc_id") == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 12_000) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic; same columns."""
+    model = train(docs, labels, id_col, text_col, label_col, sample_rows)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([model.score(t.as_py()) < 0.5 for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
