@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from canopyspark.llm import bpe, langid, packing, secrets, simhash, toxicity, warc
+from canopyspark.llm import bpe, chat, langid, packing, secrets, simhash, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op3_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair(table(spark, sf_dir, "conversations"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -43,7 +47,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_warc, op4_bpe, op5_simhash, op6_packing, op7_language_id, op10_toxicity)
+    f.__name__: f for f in (op1_secret_scan, op2_warc, op3_chat_repair, op4_bpe, op5_simhash, op6_packing, op7_language_id, op10_toxicity)
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_secret_scan": secrets.ORACLE_SQL, "op2_warc": warc.ORACLE_SQL}
