@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from canopyspark.llm import bpe, chat, langid, packing, secrets, simhash, toxicity, warc
+from canopyspark.llm import bpe, chat, embed, langid, packing, secrets, simhash, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,12 +42,20 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_warc, op3_chat_repair, op4_bpe, op5_simhash, op6_packing, op7_language_id, op10_toxicity)
+    f.__name__: f for f in (op1_secret_scan, op2_warc, op3_chat_repair, op4_bpe, op5_simhash, op6_packing, op7_language_id, op8_embedding_dedup, op9_top_k, op10_toxicity)
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_secret_scan": secrets.ORACLE_SQL, "op2_warc": warc.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_secret_scan": secrets.ORACLE_SQL, "op2_warc": warc.ORACLE_SQL, "op8_embedding_dedup": embed.ORACLE_SQL, "op9_top_k": topk.ORACLE_SQL}
