@@ -1,62 +1,5 @@
-"""What several operators share: the shared folder, cut lineage, connected components."""
+"""What several operators share."""
 
-from __future__ import annotations
+from canopyspark.shared import components, cut, scratch, shared_dir
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the setting is absent (tests in one JVM) a temporary folder takes its place; a cluster
-    without it is refused, because a machine-local folder would lose what other machines need.
-    """
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = sc.getCheckpointDir()
-        if not root:
-            if not (sc.master or "").startswith("local[") and sc.master != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            root = "file://" + tempfile.mkdtemp(prefix="canopyspark-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and kept in the shared folder, so that a lost executor costs nothing."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label) for every node of ``edges`` (src, dst long); label is the component's smallest node.
-
-    Minimum propagation with pointer jumping: each round takes the smallest label among a node's
-    neighbours and then that label's own label, so a chain of n nodes needs about log n rounds. All
-    joins are on one key with partial aggregates behind them, so a node with very many neighbours
-    is split by adaptive execution and summed before the shuffle. No edges: an empty table.
-    """
-    edges = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("src <> dst")
-    both = cut(edges.union(edges.select("dst", "src")).distinct())
-    labels = cut(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("least")).select("node", F.least("node", "least").alias("label")))
-    while not labels.isEmpty():
-        near = both.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("low"))
-        # a label is itself a node, so its own lower label is found by one more join
-        jump = lower.select(F.col("node").alias("low"), F.col("low").alias("lowest"))
-        after = cut(lower.join(jump, "low").select("node", F.least("low", "lowest").alias("label"), (F.least("low", "lowest") < F.col("label")).alias("moved")))
-        labels = after.select("node", "label")
-        if after.where("moved").isEmpty():
-            break
-    return labels
+__all__ = ["components", "cut", "scratch", "shared_dir"]
