@@ -103,41 +103,40 @@ def sum_sql(terms: list[str]) -> str:
     return "(" + " + ".join(terms) + ")"
 
 
-def inverse_sql(x: str, y: str) -> tuple[str, str]:
-    """Longitude and latitude in nested SQL."""
-    k = repr(geodesy._radius) + "::double"
-    xi, eta = f"({y} / {k})", f"(({x} - 500000) / {k})"
-    u = f"({xi} - " + sum_sql([f"{b!r}::double * sin({2 * j} * {xi}) * cosh({2 * j} * {eta})" for j, b in enumerate(geodesy.BETA, 1)]) + ")"
-    v = f"({eta} - " + sum_sql([f"{b!r}::double * cos({2 * j} * {xi}) * sinh({2 * j} * {eta})" for j, b in enumerate(geodesy.BETA, 1)]) + ")"
-    chi = f"asin(sin({u}) / cosh({v}))"
-    phi = f"({chi} + " + sum_sql([f"{d!r}::double * sin({2 * j} * {chi})" for j, d in enumerate(geodesy.DELTA, 1)]) + ")"
-    return f"(-87 + degrees(atan2(sinh({v}), cos({u}))))", f"degrees({phi})"
-
+def series_sql(coefficients: list[float], f: str, g: str | None, x: str, y: str = "", weight: bool = False) -> str:
+    """Sum of coefficient j times f(2 j x) g(2 j y), and times 2 j if it is a derivative."""
+    return sum_sql([f"{2 * j * a if weight else a!r}::double * {f}({2 * j} * {x})" + (f" * {g}({2 * j} * {y})" if g else "") for j, a in enumerate(coefficients, 1)])
 
-def sphere_sql(lon: str, lat: str) -> tuple[str, str, str, str]:
-    c = repr(geodesy._c) + "::double"
-    s, lam = f"sin(radians({lat}))", f"radians({lon} + 87)"
-    t = f"sinh(atanh({s}) - {c} * atanh({c} * {s}))"
-    return f"atan2({t}, cos({lam}))", f"atanh(sin({lam}) / sqrt(1 + pow({t}, 2)))", t, lam
 
-
-def forward_sql(lon: str, lat: str) -> tuple[str, str]:
-    xi, eta, _, _ = sphere_sql(lon, lat)
+def inverse_sql(source: str, x: str, y: str, out: str) -> str:
+    """A chain of common table expressions that ends in ``out``: source with lon and lat."""
     k = repr(geodesy._radius) + "::double"
-    east = f"({eta} + " + sum_sql([f"{a!r}::double * cos({2 * j} * {xi}) * sinh({2 * j} * {eta})" for j, a in enumerate(geodesy.ALPHA, 1)]) + ")"
-    north = f"({xi} + " + sum_sql([f"{a!r}::double * sin({2 * j} * {xi}) * cosh({2 * j} * {eta})" for j, a in enumerate(geodesy.ALPHA, 1)]) + ")"
-    return f"(500000 + {k} * {east})", f"({k} * {north})"
+    return (
+        f", {out}_1 as (select *, {y} / {k} as xi_, ({x} - 500000) / {k} as eta_ from {source}), "
+        f"{out}_2 as (select *, xi_ - {series_sql(geodesy.BETA, 'sin', 'cosh', 'xi_', 'eta_')} as u_, eta_ - {series_sql(geodesy.BETA, 'cos', 'sinh', 'xi_', 'eta_')} as v_ from {out}_1), "
+        f"{out}_3 as (select *, asin(sin(u_) / cosh(v_)) as chi_ from {out}_2), "
+        f"{out} as (select * exclude (xi_, eta_), -87 + degrees(atan2(sinh(v_), cos(u_))) as lon, degrees(chi_ + {series_sql(geodesy.DELTA, 'sin', None, 'chi_')}) as lat from {out}_3)"
+    )
 
 
-def convergence_sql(lon: str, lat: str) -> str:
-    xi, eta, t, lam = sphere_sql(lon, lat)
-    p = "(1 + " + sum_sql([f"{2 * j * a!r}::double * cos({2 * j} * {xi}) * cosh({2 * j} * {eta})" for j, a in enumerate(geodesy.ALPHA, 1)]) + ")"
-    q = sum_sql([f"{2 * j * a!r}::double * sin({2 * j} * {xi}) * sinh({2 * j} * {eta})" for j, a in enumerate(geodesy.ALPHA, 1)])
-    return f"degrees(atan2({t} * sin({lam}), sqrt(1 + pow({t}, 2)) * cos({lam})) + atan2({q}, {p}))"
+def sphere_sql(source: str, out: str) -> str:
+    """The same for the sphere's coordinates of lon and lat: t, lam, xi and eta."""
+    c = repr(geodesy._c) + "::double"
+    return (
+        f", {out}_1 as (select *, sin(radians(lat)) as s_, radians(lon + 87) as lam from {source}), {out}_2 as (select *, sinh(atanh(s_) - {c} * atanh({c} * s_)) as t from {out}_1), "
+        f"{out} as (select *, atan2(t, cos(lam)) as xi, atanh(sin(lam) / sqrt(1 + t * t)) as eta from {out}_2)"
+    )
 
 
-LON, LAT = inverse_sql("ax", "ay")
-PLACES_SQL = f", places as (select aoi_id, round({LAT}, 6) + 0.0::double as latitude, round({LON}, 6) + 0.0::double as longitude from areas)"
+FORWARD_SQL = (
+    f"500000 + {geodesy._radius!r}::double * (eta + {series_sql(geodesy.ALPHA, 'cos', 'sinh', 'xi', 'eta')})",
+    f"{geodesy._radius!r}::double * (xi + {series_sql(geodesy.ALPHA, 'sin', 'cosh', 'xi', 'eta')})",
+)
+CONVERGENCE_SQL = (
+    "degrees(atan2(t * sin(lam), sqrt(1 + t * t) * cos(lam)) + "
+    f"atan2({series_sql(geodesy.ALPHA, 'sin', 'sinh', 'xi', 'eta', True)}, 1 + {series_sql(geodesy.ALPHA, 'cos', 'cosh', 'xi', 'eta', True)}))"
+)
+PLACES_SQL = inverse_sql("areas", "ax", "ay", "degrees_of") + ", places as (select aoi_id, round(lat, 6) + 0.0::double as latitude, round(lon, 6) + 0.0::double as longitude from degrees_of)"
 
 
 def features_sql(variant: str, layout: str) -> str:
@@ -170,17 +169,17 @@ for _layout in ("aoi", "whole", "orthorectified"):
         feature_query(_variant, _layout)
 
 
-@query(with_views(BANDS_SQL + LONG_SQL + " select aoi_id, photo_id, px, vi, round(x, 5) + 0.0::double as value, round(case when veg then x end, 5) + 0.0::double as masked from long where vi in ('ndvi', 'mcari2')", "pixels"))
+@query(with_views(BANDS_SQL + LONG_SQL + " select aoi_id, photo_id, px, vi, round(x, 9) + 0.0::double as value, round(case when veg then x end, 9) + 0.0::double as masked from long where vi in ('ndvi', 'mcari2')", "pixels"))
 def index_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pixels = view(spark, sf_dir, "pixels")
     rows = statistics.index_rows(statistics.reflectances(pixels), ["aoi_id", "photo_id", "px"], ["NDVI", "MCARI2"])
-    return rows.select("aoi_id", "photo_id", "px", "vi", rounded(F.col("x"), 5).alias("value"), rounded(F.when(F.col("vegetation"), F.col("x")), 5).alias("masked"))
+    return rows.select("aoi_id", "photo_id", "px", "vi", rounded(F.col("x"), 9).alias("value"), rounded(F.when(F.col("vegetation"), F.col("x")), 9).alias("masked"))
 
 
 @query(
     with_views(
-        BANDS_SQL + LONG_SQL + ", both as (select aoi_id, vi, 'raw' as variant, x from long union all select aoi_id, vi, 'no_soil', x from long where veg) select aoi_id, vi, variant, count(x)::bigint as n, "
-        + ", ".join(R6.format(f"{f}(x)", s) for f, s in (("avg", "mean"), ("stddev_pop", "std"), ("min", "min"), ("max", "max"))) + " from both where x is not null group by aoi_id, vi, variant",
+        BANDS_SQL + LONG_SQL + ", variants as (select aoi_id, vi, 'raw' as variant, x from long union all select aoi_id, vi, 'no_soil', x from long where veg) select aoi_id, vi, variant, count(x)::bigint as n, "
+        + ", ".join(R6.format(f"{f}(x)", s) for f, s in (("avg", "mean"), ("stddev_pop", "std"), ("min", "min"), ("max", "max"))) + " from variants where x is not null group by aoi_id, vi, variant",
         "pixels",
     )
 )
@@ -260,12 +259,12 @@ def ratio_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("aoi_id", "ratio", text.chunk_label(F.col("aoi_id"), F.col("ratio")).alias("label"), "n_captures")
 
 
-RING = F.array(*[F.struct(F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y")) for k in range(1, 6)])
 EDGES_SQL = ", edges as (" + " union all ".join(f"select aoi_id, ax, ay, x{k} as px_, y{k} as py_, x{k % 5 + 1} as qx, y{k % 5 + 1} as qy from polygons" for k in range(1, 6)) + ")"
 
 
 def rings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "polygons").select("aoi_id", RING.alias("ring"))
+    ring = F.array(*[F.struct(F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y")) for k in range(1, 6)])
+    return view(spark, sf_dir, "polygons").select("aoi_id", ring.alias("ring"))
 
 
 @query(
@@ -302,34 +301,31 @@ def pixels_touching_plots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # projection and camera
-CLON, CLAT = inverse_sql("cx", "cy")
-
 
-@query(with_views(f" select cap_id, round({CLON}, 7) + 0.0::double as longitude, round({CLAT}, 7) + 0.0::double as latitude from captures", "captures"))
+@query(with_views(inverse_sql("captures", "cx", "cy", "d") + " select cap_id, round(lon, 7) + 0.0::double as longitude, round(lat, 7) + 0.0::double as latitude from d", "captures"))
 def positions_to_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     lon, lat = geodesy.inverse(F.col("cx"), F.col("cy"))
     return view(spark, sf_dir, "captures").select("cap_id", rounded(lon, 7).alias("longitude"), rounded(lat, 7).alias("latitude"))
 
 
-FEAST, FNORTH = forward_sql("lon", "lat")
 DEGREES_SQL = ", places as (select cap_id, -87 + (cap_id % 500 - 250) * 0.01::double as lon, 38 + (cap_id % 700) * 0.01::double as lat from captures)"
 DEGREES = {"lon": "-87 + (cap_id % 500 - 250) * cast(0.01 as double)", "lat": "38 + (cap_id % 700) * cast(0.01 as double)"}
 
 
-@query(with_views(DEGREES_SQL + f" select cap_id, round({FEAST}, 3) + 0.0::double as easting, round({FNORTH}, 3) + 0.0::double as northing from places", "captures"))
+@query(with_views(DEGREES_SQL + sphere_sql("places", "p") + f" select cap_id, round({FORWARD_SQL[0]}, 3) + 0.0::double as easting, round({FORWARD_SQL[1]}, 3) + 0.0::double as northing from p", "captures"))
 def degrees_to_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = view(spark, sf_dir, "captures").selectExpr("cap_id", *[f"{e} as {n}" for n, e in DEGREES.items()])
     east, north = geodesy.forward(F.col("lon"), F.col("lat"))
     return p.select("cap_id", rounded(east, 3).alias("easting"), rounded(north, 3).alias("northing"))
 
 
-@query(with_views(DEGREES_SQL + f" select cap_id, round({convergence_sql('lon', 'lat')}, 6) + 0.0::double as convergence from places", "captures"))
+@query(with_views(DEGREES_SQL + sphere_sql("places", "p") + f" select cap_id, round({CONVERGENCE_SQL}, 6) + 0.0::double as convergence from p", "captures"))
 def meridian_convergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = view(spark, sf_dir, "captures").selectExpr("cap_id", *[f"{e} as {n}" for n, e in DEGREES.items()])
     return p.select("cap_id", rounded(geodesy.convergence(F.col("lon"), F.col("lat")), 6).alias("convergence"))
 
 
-FOOT_SQL = f""", posed as (select *, yaw - radians({convergence_sql(f"({CLON})", f"({CLAT})")}) as heading, case when altitude > 0 then altitude else 10 end as agl from captures),
+FOOT_SQL = inverse_sql("captures", "cx", "cy", "d") + sphere_sql("d", "p") + f""", posed as (select *, yaw - radians({CONVERGENCE_SQL}) as heading, case when altitude > 0 then altitude else 10 end as agl from p),
 half as (select *, agl * tan(atan({COLS} * 0.00375::double / (2 * {FOCAL}))) / cos(roll) as w, agl * tan(atan({ROWS} * 0.00375::double / (2 * {FOCAL}))) / cos(pitch) as h from posed),
 corners as (select cap_id, cx, cy, heading, corner, case when corner in (1, 2) then w else -w end as u, case when corner < 2 then h else -h end as v from half, (select unnest([0, 1, 2, 3]) as corner))"""
 
@@ -524,7 +520,7 @@ def upper_median_focal(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     with_views(
         ", c as (select aoi_id, (aoi_id * 31 + k * 17) % 100 as cx, (aoi_id * 53 + k * 29) % 100 as cy, k as image from areas, range(4) t(k)), "
-        "p as (select aoi_id, px, px % 100 as x, (px // 10) % 100 as y from pixels), d as (select p.*, image, row_number() over (partition by px, p.aoi_id order by (x - cx) * (x - cx) + (y - cy) * (y - cy), image) as k from p join c on p.aoi_id = c.aoi_id) "
+        "p as (select aoi_id, px, px % 100 as x, (px // 10) % 100 as y, row_number() over () as row_ from pixels), d as (select p.*, image, row_number() over (partition by row_ order by (x - cx) * (x - cx) + (y - cy) * (y - cy), image) as k from p join c on p.aoi_id = c.aoi_id) "
         "select aoi_id, image::bigint as image, count(*)::bigint as n, sum(px)::bigint as total from d where k = 1 group by aoi_id, image",
         "areas", "pixels",
     )
@@ -566,10 +562,10 @@ def complete_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.complete_captures(view(spark, sf_dir, "images").where("id % 17 <> 3"), "capture")
 
 
-@query(with_views(" select distinct capture from images where capture not in (select capture from images where id % 3 = 0)", "images"))
+@query(with_views(" select distinct capture from images where capture not in (select capture from images where id % 7 = 0)", "images"))
 def pending_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = view(spark, sf_dir, "images")
-    return jobs.pending(i.select("capture").distinct(), i.where("id % 3 = 0"), "capture")
+    return jobs.pending(i.select("capture").distinct(), i.where("id % 7 = 0"), "capture")
 
 
 @query(with_views(", r as (select path, row_number() over (order by path) as k from images) select path from r where k <= 5", "images"))
@@ -583,12 +579,13 @@ def middle_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-select o_orderkey as id, case when o_orderkey % 3 = 0 then [0.49::double, 0.49::double, 0.49::double] else [0.5::double, 0.51::double, (o_orderkey % 100) / 100.0::double] end
-  || [0.0::double] as albedo from orders""")
+select o_orderkey as id, case when o_orderkey % 3 = 0 then 0.49::double else 0.5::double end as b1, case when o_orderkey % 3 = 0 then 0.49::double else 0.51::double end as b2,
+  case when o_orderkey % 3 = 0 then 0.49::double else (o_orderkey % 100) / 100.0::double end as b3, 0.0::double as b4 from orders""")
 def panel_reflectances(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     own = F.array(F.lit(0.5), F.lit(0.51), F.when(F.col("o_orderkey") % 3 != 0, (F.col("o_orderkey") % 100) / F.lit(100.0)))
-    return o.select(F.col("o_orderkey").alias("id"), text.with_light_sensor(text.panel_albedo(own, F.lit(3))).alias("albedo"))
+    found = text.with_light_sensor(text.panel_albedo(own, F.lit(3)))
+    return o.select(F.col("o_orderkey").alias("id"), *[F.get(found, F.lit(k)).alias(f"b{k + 1}") for k in range(4)])
 
 
 @query(with_views(" select aoi_id, ax, ay, (row_number() over (order by aoi_id) - 1)::int as position, case when contains('AOI_' || aoi_id, '1') then 'wallpe_aoi.csv' else 'PPAC_B3_aoi.csv' end as file, 'a' || aoi_id || '_b' as serial from areas", "areas"))
