@@ -60,3 +60,13 @@ def components(edges: DataFrame) -> DataFrame:
         if after.where("moved").isEmpty():
             break
     return labels
+
+
+def stable(df: DataFrame) -> DataFrame:
+    """``df`` if it reads its rows in the same order each time, as a scan of files does; otherwise its rows, kept.
+
+    Row numbers are then the same in two passes over it. What a shuffle deals out may come in another
+    order when other columns are read.
+    """
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return cut(df) if "Exchange" in plan else df
