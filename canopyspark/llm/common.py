@@ -1,5 +1,5 @@
 """What several operators share."""
 
-from canopyspark.shared import components, cut, scratch, shared_dir
+from canopyspark.shared import components, cut, scratch, shared_dir, stable
 
-__all__ = ["components", "cut", "scratch", "shared_dir"]
+__all__ = ["components", "cut", "scratch", "shared_dir", "stable"]

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopyspark.llm.common import cut
+from canopyspark.llm.common import cut, stable
 
 # The patterns, in the order of kinds; the number is the group that holds the secret itself.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -117,12 +117,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
 def redact(docs: DataFrame, text_col: str = "text", owner_col: str = "source", repo_col: str = "source", min_owners: int = 3, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every secret that is not a widely copied example replaced by ``mark``; same columns, same rows.
 
-    Of an assignment only the value goes. Overlapping spans become one mark. ``docs`` must be a table that
-    is read twice in the same order, as files are: rows are told apart by their number.
+    Of an assignment only the value goes. Overlapping spans become one mark.
     """
     columns = docs.columns
     row = "row number of a document"
-    number = docs.withColumn(row, F.monotonically_increasing_id())
+    number = stable(docs).withColumn(row, F.monotonically_increasing_id())
     rows = number.select(
         F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
         F.col(f"`{owner_col}`").cast("string").alias("owner"), F.col(f"`{repo_col}`").cast("string").alias("repo"), F.col(row),

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopyspark.llm.common import components, cut
+from canopyspark.llm.common import components, cut, stable
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 SEED = 42
@@ -129,11 +129,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """The rows of ``docs`` that have the smallest id of their group of near-duplicates, one for each group.
 
-    Null ids come last and rows of the same id in the order of the table. ``docs`` must be a table that is
-    read twice in the same order, as files are: rows are told apart by their number.
+    Null ids come last and rows of the same id in the order of the table.
     """
     columns = docs.columns
-    number = docs.withColumn("row number of a document", F.monotonically_increasing_id())
+    number = stable(docs).withColumn("row number of a document", F.monotonically_increasing_id())
     rows = number.select(F.col("row number of a document").alias("doc_id"), F.col(f"`{id_col}`").cast("long").alias("own"), F.col(f"`{text_col}`").alias("text"))
     groups = cut(near_duplicates(rows, words=words, carry="own"))
     first = F.min(F.struct(F.col("own").isNull().alias("none"), F.col("own").alias("own"), F.col("doc_id").alias("row")))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage
 
-from canopyspark.llm.common import cut, scratch
+from canopyspark.llm.common import cut, scratch, stable
 
 SCHEMA = "record_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes long, page_id long, payload binary"
 #: Column -> the header field that holds it.
@@ -261,7 +261,7 @@ def base32(hexadecimal: F.Column) -> F.Column:
 
 def dedupe(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0, broadcast_rows: int = 100_000) -> DataFrame:
     """Rows of SCHEMA: a response for the smallest id of equal payloads of ``least_bytes`` or more, revisits for the others."""
-    rows = pages.select(
+    rows = stable(pages).select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("target_uri"),
         F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary").alias("payload"), F.monotonically_increasing_id().alias("row"),
     )
