@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from canopyspark.functions import geodesy, geometry, text
 from canopyspark.functions import vegetation as V
 from canopyspark.functions.numeric import rounded
-from canopyspark.operators import graph, jobs, matching, mosaic, spatial, statistics
+from canopyspark.operators import alignment, detailed, graph, jobs, matching, mosaic, spatial, statistics
 from canopyspark.plans.views import view, with_views
 from canopyspark.shared import scratch
 from canopyspark.streaming import moments
@@ -637,5 +637,36 @@ def stitched_mosaics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("aoi_id", "n_captures", "n_used", "bands", "rows", "cols", F.transform("transform", lambda v: F.round(v, 1)).alias("transform"))
 
 
+@query()
+def detailed_mosaics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mosaics of the same captures, registered together and blended."""
+    from canopyspark.plans.scenes import captures_of
+
+    tiles = captures_of(view(spark, sf_dir, "areas").where("aoi_id < 4").select("aoi_id"))
+    centre = lambda c: F.aggregate("points", F.lit(0.0), lambda s, p: s + p[c]) / F.size("points")
+    m = detailed.mosaics(tiles.withColumns({"x": centre("x"), "y": centre("y")}))
+    return m.select("aoi_id", "n_captures", "n_used", "bands", "rows", "cols")
+
+
+@query()
+def aligned_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stacks of single bands moved onto the reference band, with their thumbnails' sizes."""
+    from canopyspark.plans.scenes import bands_of
+
+    images = bands_of(view(spark, sf_dir, "areas").where("aoi_id < 8").select("aoi_id"))
+    shifts = spark.range(5).selectExpr("cast(id as int) as band", "array(1D, 0D, cast(id - 2 as double), 0D, 1D, 0D, 0D, 0D, 1D) as h")
+    found = alignment.aligned(images, shifts, 5)
+    return found.select("capture_id", "bands", "rows", "cols", F.octet_length("image").alias("bytes"), (F.octet_length("thumbnail") > 0).alias("has_thumbnail"))
+
+
+@query("""
+select o_orderkey as id, round(o_totalprice / 1000 * pi() / 0.49::double, 6) + 0.0::double as irradiance, round(o_totalprice / 2000 * pi() / (o_totalprice / 1000 * pi() / 0.49::double), 6) + 0.0::double as reflectance
+from orders where o_totalprice > 0""")
+def panel_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_totalprice > 0")
+    light = alignment.panel_irradiance(F.col("o_totalprice") / 1000, F.lit(text.PANEL_REFLECTANCE))
+    return o.select(F.col("o_orderkey").alias("id"), rounded(light, 6).alias("irradiance"), rounded(alignment.reflectance(F.col("o_totalprice") / 2000, light), 6).alias("reflectance"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index_statistics(spark, sf_dir)

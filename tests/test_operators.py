@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 
-from canopyspark.operators import graph, jobs, matching, mosaic, spatial, statistics
+from canopyspark.operators import alignment, detailed, graph, jobs, matching, mosaic, spatial, statistics
 from canopyspark.operators.features import describe, match
 from canopyspark.plans import scenes
 
@@ -174,3 +174,45 @@ def test_band_bytes(spark):
     df = spark.createDataFrame([(1, 0.0), (1, 1.0), (1, 2.0), (2, 5.0)], "k int, b double")
     assert sorted((r.k, r.scaled) for r in mosaic.band_bytes(df, ["k"], "b").collect()) == [(1, 0), (1, 127), (1, 255), (2, 0)]
     assert math.isclose(float(mosaic.to_bytes(np.array([[0.0, 1.0, 2.0]]))[0, 1]), 127)
+
+
+def test_detailed():
+    images, points = scenes.frames(3)
+    centres = np.array([p[:, 2:].mean(axis=0) for p in points])
+    noise = np.round(np.random.default_rng(0).uniform(0, 20000, images[0].shape))
+    mosaic_, held, members = detailed.compose([*images, noise], np.vstack([centres, [0, 0]]))
+    assert members == [0, 1, 2] and held.shape == (3, 4)
+    width = scenes.SIDE + 2 * scenes.STEP
+    assert abs(mosaic_.shape[2] - width) <= 2 and abs(mosaic_.shape[1] - scenes.SIDE) <= 3
+    truth = scenes.ground(3, scenes.SIDE, width)
+    r, c = min(truth.shape[1], mosaic_.shape[1]), min(truth.shape[2], mosaic_.shape[2])
+    assert np.corrcoef(truth[3, 8 : r - 8, 8 : c - 8].ravel(), mosaic_[3, 8 : r - 8, 8 : c - 8].ravel())[0, 1] > 0.9
+    assert detailed.compose([noise, images[0]], centres[:2]) is None and detailed.compose(images[:1], centres[:1]) is None
+
+
+def test_adjustment_brings_the_chain_together():
+    r = np.random.default_rng(1)
+    true = {0: np.eye(3), 1: np.array([[1, 0.01, 30], [-0.01, 1, 2], [1e-5, 0, 1]]), 2: np.array([[0.99, 0, 60], [0, 1.01, -3], [0, 1e-5, 1]])}
+    pairs = []
+    for a, b in ((0, 1), (1, 2), (0, 2)):
+        p = r.uniform(0, 100, (30, 2))
+        q = matching.project(np.linalg.inv(true[b]) @ true[a], p)
+        pairs.append(detailed.Pair(a, b, p, q, np.linalg.inv(true[b]) @ true[a], 2.0))
+    off = {k: h + (k > 0) * r.normal(0, 1, (3, 3)) * np.array([[0.01, 0.01, 2], [0.01, 0.01, 2], [0, 0, 0]]) for k, h in true.items()}
+    found = detailed.adjusted(off, pairs)
+    for k in true:
+        assert np.abs(matching.project(found[k], np.array([[50.0, 50.0]])) - matching.project(true[k], np.array([[50.0, 50.0]]))).max() < 0.05
+
+
+def test_alignment(spark):
+    from canopyspark.plans.scenes import bands_of, ground
+
+    images = bands_of(spark.createDataFrame([(1,), (7,)], "aoi_id int"))
+    m = spark.createDataFrame([(b, [1.0, 0.0, float(b - 2), 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]) for b in range(5) if b != 2], "band int, h array<double>")
+    rows = alignment.aligned(images, m, 5).collect()
+    assert [r.capture_id for r in rows] == [1]
+    stack = np.frombuffer(rows[0].image, dtype="<f8").reshape(5, 40, 40)
+    whole = ground(1, 40, 48)
+    for b in range(5):
+        assert np.allclose(stack[b, :, 2:38], whole[b, :, 4:40])
+    assert bytes(rows[0].thumbnail).startswith(b"\x89PNG")
