@@ -1,9 +1,10 @@
 """Near-duplicate embeddings by spherical-cap filters.
 
-Filters are directions of a random product code: a random rotation, then ``BLOCKS`` blocks with ``WORDS``
+Filters are directions of a random product code: a random rotation, then ``BLOCKS`` blocks with some
 random unit directions each; a filter is one direction per block, and a vector's product with it is the sum
-over blocks. List decoding walks the blocks' products from the largest down and stops where no sum can reach
-the bound, so it visits the filters that a vector exceeds and few others.
+over blocks. There are as many filters as put about ``PER_FILTER`` classes of the largest label under each.
+List decoding walks the blocks' products from the largest down and stops where no sum can reach the bound, so
+it visits the filters that a vector exceeds and few others.
 
 Equal vectors of a label meet in one class first. A class is stored under its best filter, with product M,
 and probes every filter whose product is at least
@@ -39,25 +40,32 @@ from pyspark.sql import functions as F
 
 from canopyspark.llm.common import components, cut
 
-BLOCKS, WORDS, SEED = 2, 32, 7
+BLOCKS, SEED = 2, 7
+PER_FILTER, LEAST_WORDS, MOST_WORDS = 64, 8, 1024
 #: Rows of either side that one group holds at most, about.
 CHUNK = 1024
 
 
+def words_for(classes: int) -> int:
+    """Directions in each block for that many classes of one label."""
+    return min(MOST_WORDS, max(LEAST_WORDS, math.ceil((classes / PER_FILTER) ** (1 / BLOCKS))))
+
+
 @lru_cache(8)
-def code(d: int) -> tuple[np.ndarray, list[np.ndarray]]:
+def code(d: int, n_words: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """The rotation and the blocks' directions for vectors of d components, scaled so that a filter has length 1."""
-    r = np.random.default_rng([SEED, d])
+    r = np.random.default_rng([SEED, d, n_words])
     rotation, _ = np.linalg.qr(r.standard_normal((d, d)))
     words = []
     for part in np.array_split(np.arange(d), min(BLOCKS, d)):
-        w = r.standard_normal((WORDS, len(part)))
+        w = r.standard_normal((n_words, len(part)))
         words.append(w / np.linalg.norm(w, axis=1, keepdims=True) / math.sqrt(min(BLOCKS, d)))
     return rotation, words
 
 
 def decode(products: list[np.ndarray], least: float) -> list[int]:
     """The filters whose blocks' products add up to ``least`` or more."""
+    n_words = len(products[0])
     order = [np.argsort(-p) for p in products]
     tails = np.cumsum([p.max() for p in products][::-1])[::-1].tolist() + [0.0]
     found: list[int] = []
@@ -70,16 +78,16 @@ def decode(products: list[np.ndarray], least: float) -> list[int]:
             reached = total + float(products[block][w])
             if reached + tails[block + 1] < least:
                 break
-            go(block + 1, reached, number * WORDS + int(w))
+            go(block + 1, reached, number * n_words + int(w))
 
     go(0, 0.0, 0)
     return found
 
 
-def filters(unit: np.ndarray, cos: float, certainty: float) -> Iterator[tuple[float, int, list[int]]]:
+def filters(unit: np.ndarray, n_words: int, cos: float, certainty: float) -> Iterator[tuple[float, int, list[int]]]:
     """For each row: its largest product, the filter that has it, and the filters that it probes."""
     d = unit.shape[1]
-    rotation, words = code(d)
+    rotation, words = code(d, n_words)
     turned = unit @ rotation
     parts = np.array_split(np.arange(d), len(words))
     by_block = [turned[:, p] @ w.T for p, w in zip(parts, words, strict=True)]
@@ -89,13 +97,14 @@ def filters(unit: np.ndarray, cos: float, certainty: float) -> Iterator[tuple[fl
         best, number = 0.0, 0
         for p in products:
             w = int(np.argmax(p))
-            best, number = best + float(p[w]), number * WORDS + w
+            best, number = best + float(p[w]), number * n_words + w
         slack = min(math.sqrt(max(0.0, 1 - best * best)), certainty / math.sqrt(d))
         yield best, number, decode(products, cos * best - sin * slack - 1e-9)
 
 
-def placed(classes: DataFrame, cos: float, certainty: float) -> DataFrame:
-    """A row per class and filter: stored (1) under its best filter, probing (0) the others and that one."""
+def placed(classes: DataFrame, n_words: int, cos: float, certainty: float) -> DataFrame:
+    """A row per class and filter: stored (1) under its best filter, probing (0) the others and that one. Vectors travel as they came."""
+    stored = packed_type(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,8 +116,8 @@ def placed(classes: DataFrame, cos: float, certainty: float) -> DataFrame:
             for d, at in by_length.items():
                 x = np.array([vectors[k] for k in at], dtype=np.float64)
                 unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-                for k, u, (best, own, probed) in zip(at, unit, filters(unit, cos, certainty), strict=True):
-                    packed = u.tobytes()
+                for k, (best, own, probed) in zip(at, filters(unit, n_words, cos, certainty), strict=True):
+                    packed = np.array(vectors[k], dtype=stored).tobytes()
                     rows.append((k, d, own, 1, best, packed))
                     rows += [(k, d, f, 0, best, packed) for f in probed]
             for begin in range(0, len(rows), 4096):
@@ -116,17 +125,21 @@ def placed(classes: DataFrame, cos: float, certainty: float) -> DataFrame:
                 pick = pa.array(k, pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pick), batch.column(2).take(pick), batch.column(3).take(pick), pa.array(d, pa.int32()), pa.array(f, pa.int64()), pa.array(side, pa.int8()), pa.array(best, pa.float64()), pa.array(packed, pa.binary())],
-                    names=["class", "label", "n", "d", "filter", "side", "best", "unit"],
+                    names=["class", "label", "n", "d", "filter", "side", "best", "packed"],
                 )
 
     rows = classes.select("class", "vector", "label", "n")
-    return rows.mapInArrow(run, "class long, label string, n long, d int, filter long, side byte, best double, unit binary")
+    return rows.mapInArrow(run, "class long, label string, n long, d int, filter long, side byte, best double, packed binary")
+
+
+def packed_type(classes: DataFrame) -> str:
+    return "<f4" if classes.schema["vector"].dataType.elementType.typeName() == "float" else "<f8"
 
 
 KEY = ["label", "d", "filter"]
 
 
-def compared(rows: DataFrame, cos: float) -> DataFrame:
+def compared(rows: DataFrame, stored_as: str, cos: float) -> DataFrame:
     """(class, root, links): what each group of stored and probing classes adds to a class's links, and a class it is joined to."""
     sizes = rows.groupBy(*KEY).agg(F.sum("side").alias("stored"), F.sum(F.lit(1) - F.col("side")).alias("probing")).where("stored > 0 and probing > 1")
     sizes = sizes.select(*KEY, F.ceil(F.col("stored") / CHUNK).cast("int").alias("s"), F.ceil(F.col("probing") / CHUNK).cast("int").alias("p"))
@@ -135,7 +148,7 @@ def compared(rows: DataFrame, cos: float) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 1, F.col("p")).otherwise(F.col("s")) - 1))
     dealt = dealt.withColumn("own", own).withColumn("other", other)
     row, column = F.when(F.col("side") == 1, F.col("own")).otherwise(F.col("other")), F.when(F.col("side") == 1, F.col("other")).otherwise(F.col("own"))
-    dealt = dealt.withColumns({"i": row, "j": column}).select(*KEY, "i", "j", "side", "class", "n", "best", "unit")
+    dealt = dealt.withColumns({"i": row, "j": column}).select(*KEY, "i", "j", "side", "class", "n", "best", "packed")
     group = [*KEY, "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +172,8 @@ def compared(rows: DataFrame, cos: float) -> DataFrame:
     def block(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(parts)
         side, number, n, best = (t.column(c).to_numpy() for c in ("side", "class", "n", "best"))
-        unit = np.frombuffer(b"".join(t.column("unit").to_pylist()), dtype=np.float64).reshape(len(side), -1)
+        unit = np.frombuffer(b"".join(t.column("packed").to_pylist()), dtype=stored_as).reshape(len(side), -1).astype(np.float64)
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
         stored, probing = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
         near = unit[stored] @ unit[probing].T >= cos
         # a pair counts where the class with the larger product is stored; equal products go by number
@@ -189,11 +203,13 @@ def compared(rows: DataFrame, cos: float) -> DataFrame:
 def near_duplicates(vectors: DataFrame, cos: float = 0.98, certainty: float = 5.0, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row of ``vectors``."""
     v = F.col("vector")
-    rows = cut(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"), F.col(label_col).cast("string").alias("label"), F.monotonically_increasing_id().alias("row")))
+    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = cut(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("vector"), F.col(label_col).cast("string").alias("label"), F.monotonically_increasing_id().alias("row")))
     fit = F.col("label").isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     usable = rows.where(F.coalesce(fit, F.lit(False)))
     classes = cut(usable.groupBy("label", "vector").agg(F.min("row").alias("class"), F.min("vec_id").alias("first"), F.count("*").alias("n")))
-    found = cut(compared(placed(classes, cos, certainty), cos))
+    most = classes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first().n or 0
+    found = cut(compared(placed(classes, words_for(most), cos, certainty), packed_type(classes), cos))
     links = found.groupBy("class").agg(F.sum("links").alias("links"))
     labels = components(found.select(F.col("class").alias("src"), F.col("root").alias("dst")))
     named = classes.join(links, "class", "left").join(labels.withColumnRenamed("node", "class").withColumnRenamed("label", "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))

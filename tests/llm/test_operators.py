@@ -452,8 +452,9 @@ def test_chunks_of_large_groups(spark, monkeypatch):
 
 def test_list_decoding():
     r = np.random.default_rng(8)
-    products = [r.standard_normal(embed.WORDS) for _ in range(3)]
-    every = {(a * embed.WORDS + b) * embed.WORDS + c: products[0][a] + products[1][b] + products[2][c] for a in range(embed.WORDS) for b in range(embed.WORDS) for c in range(embed.WORDS)}
+    n = 12
+    products = [r.standard_normal(n) for _ in range(3)]
+    every = {(a * n + b) * n + c: products[0][a] + products[1][b] + products[2][c] for a in range(n) for b in range(n) for c in range(n)}
     assert set(embed.decode(products, 3.0)) == {k for k, v in every.items() if v >= 3.0}
 
 
