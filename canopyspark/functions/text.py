@@ -43,7 +43,7 @@ def with_light_sensor(irradiance: Column) -> Column:
     return F.concat(irradiance, F.array(F.lit(0.0)))
 
 
-def aoi_file(experiment: Column, field: str = "Wallpe", own: str = "wallpe_aoi.csv", other: str = "PPAC_B3_aoi.csv") -> Column:
+def aoi_file(experiment: Column, field: str, own: str, other: str) -> Column:
     """Which file of areas an experiment uses, by a part of its name."""
     return F.when(experiment.contains(field), own).otherwise(other)
 

@@ -36,13 +36,33 @@ def moments(x: Column, prefix: str) -> list[Column]:
 
 
 def statistics(pixels: DataFrame, keys: list[str] | None = None, nodata: float | None = 65535, indices: list[str] | None = None, digital: list[str] = DIGITAL) -> DataFrame:
-    """(keys, vi, total_pixels, vegetation_pixels, raw_mean .. raw_max, veg_mean .. veg_max)."""
+    """(keys, vi, total_pixels, vegetation_pixels, raw_mean .. raw_max, veg_mean .. veg_max).
+
+    Vegetation and other pixels are summed apart, one set of moments for each row instead of two, and the two parts of
+    each index, few against the pixels, are put together afterwards. A stream, which aggregates once, sums both sets.
+    """
     keys = keys or ["aoi_id"]
     rows = index_rows(reflectances(pixels, nodata, digital), keys, indices)
-    green = F.when(F.col("vegetation"), F.col("x"))
-    return rows.groupBy(*keys, "vi").agg(
-        F.count_if(~F.col("nodata")).alias("total_pixels"), F.count_if("vegetation").alias("vegetation_pixels"), *moments(F.col("x"), "raw"), *moments(green, "veg")
+    if pixels.isStreaming:
+        green = F.when(F.col("vegetation"), F.col("x"))
+        return rows.groupBy(*keys, "vi").agg(
+            F.count_if(~F.col("nodata")).alias("total_pixels"), F.count_if("vegetation").alias("vegetation_pixels"), *moments(F.col("x"), "raw"), *moments(green, "veg")
+        )
+    parts = rows.groupBy(*keys, "vi", "vegetation").agg(
+        F.count_if(~F.col("nodata")).alias("pixels"), F.count("x").alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("var"), F.min("x").alias("min"), F.max("x").alias("max")
     )
+    green = lambda c: F.max(F.when(F.col("vegetation"), F.col(c)))
+    other = lambda c: F.max(F.when(~F.col("vegetation"), F.col(c)))
+    n, weighted = F.sum("n"), F.when(F.col("n") > 0, F.col("n"))
+    apart = F.coalesce(green("mean") - other("mean"), F.lit(0.0))
+    between = F.coalesce(green("n") * other("n"), F.lit(0)) * apart * apart / F.when(n > 0, n)
+    mean = F.sum(weighted * F.col("mean")) / F.when(n > 0, n)
+    std = F.sqrt((F.sum(weighted * F.col("var")) + between) / F.when(n > 0, n))
+    return parts.groupBy(*keys, "vi").agg(
+        F.sum("pixels").alias("total_pixels"), F.coalesce(green("pixels"), F.lit(0)).alias("vegetation_pixels"),
+        mean.alias("raw_mean"), std.alias("raw_std"), F.min("min").alias("raw_min"), F.max("max").alias("raw_max"),
+        green("mean").alias("veg_mean"), F.sqrt(green("var")).alias("veg_std"), green("min").alias("veg_min"), green("max").alias("veg_max"),
+    )
 
 
 def mergeable(pixels: DataFrame, keys: list[str], nodata: float | None = 65535, indices: list[str] | None = None) -> DataFrame:

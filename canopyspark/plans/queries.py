@@ -588,12 +588,12 @@ def panel_reflectances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("id"), *[F.get(found, F.lit(k)).alias(f"b{k + 1}") for k in range(4)])
 
 
-@query(with_views(" select aoi_id, ax, ay, (row_number() over (order by aoi_id) - 1)::int as position, case when contains('AOI_' || aoi_id, '1') then 'wallpe_aoi.csv' else 'PPAC_B3_aoi.csv' end as file, 'a' || aoi_id || '_b' as serial from areas", "areas"))
+@query(with_views(" select aoi_id, ax, ay, (row_number() over (order by aoi_id) - 1)::int as position, case when contains('AOI_' || aoi_id, '1') then 'field.csv' else 'other.csv' end as file, 'a' || aoi_id || '_b' as serial from areas", "areas"))
 def areas_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = spatial.by_position(view(spark, sf_dir, "areas"), "aoi_id")
     name = F.concat(F.lit("AOI_"), F.col("aoi_id").cast("string"))
     serial = text.serial_key(F.array(F.concat(F.lit("a"), F.col("aoi_id").cast("string")), F.lit("b")))
-    return a.select("aoi_id", "ax", "ay", "position", text.aoi_file(name, "1").alias("file"), serial.alias("serial"))
+    return a.select("aoi_id", "ax", "ay", "position", text.aoi_file(name, "1", "field.csv", "other.csv").alias("file"), serial.alias("serial"))
 
 
 @query(
