@@ -192,28 +192,33 @@ class Model:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
-def grams(text: str | None) -> Counter:
-    """How often each word ("w") and word beginning ("w*") occurs, up to PER_DOC each."""
+def grams(text: str | None, only: set[str] | None = None, stems: set[str] | None = None) -> Counter:
+    """How often each word ("w") and word beginning ("w*") occurs, up to PER_DOC each.
+
+    only: the words and beginnings that are wanted, and stems: those of them that are beginnings, without their stars.
+    """
     found: Counter = Counter()
     for w, n in Counter(WORD.findall((text or "").lower())).items():
-        if len(w) > 2:
+        if len(w) < 3:
+            continue
+        if only is None or w in only:
             found[w] += n
-            for k in range(MIN_PREFIX, min(MAX_PREFIX, len(w) - 1) + 1):
+        for k in range(MIN_PREFIX, min(MAX_PREFIX, len(w) - 1) + 1):
+            if stems is None or w[:k] in stems:
                 found[w[:k] + "*"] += n
     return Counter({g: min(n, PER_DOC) for g, n in found.items()})
 
 
 def gram_table(rows: DataFrame, only: set[str] | None = None) -> DataFrame:
     """(gram, docs, uses) over all texts of ``rows``."""
+    stems = None if only is None else {g[:-1] for g in only if g.endswith("*")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs: Counter = Counter()
         uses: Counter = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                seen = grams(text)
-                if only is not None:
-                    seen = Counter({g: seen[g] for g in only & seen.keys()})
+                seen = grams(text, only, stems)
                 uses.update(seen)
                 docs.update(seen.keys())
         names = list(docs)

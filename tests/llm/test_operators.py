@@ -356,6 +356,17 @@ def test_dominance_is_sound():
             assert n == best(items, 20)
 
 
+def test_faster_tokenizer_agrees():
+    """Ids for packing are those of the tokenizers library: every character, odd white space, special tokens."""
+    fast, t = packing.tokenizer(BYTE), Tokenizer.from_file(BYTE)
+    r = random.Random(7)
+    letters = "abcdefghij ABC 0123456789 '''sstmre  \n\t\r\x0b\x0c\x1c\x85\xa0 éß日本🙂½Ⅷ_-!?"
+    texts = [f"a{chr(c)}b {chr(c)}1 {chr(c)}{chr(c)}" for c in range(0x3000) if not 0xD800 <= c < 0xE000]
+    texts += ["".join(r.choice(letters) for _ in range(r.randint(0, 60))) + "<|endoftext|> x" * (k % 3 == 0) for k in range(3000)]
+    texts += [" " * 5000, "a" * 5000, "\n \n" * 999, " \t" * 700 + "x"]
+    assert not [x[:40] for x in texts if fast.encode(x, allowed_special="all") != t.encode(x, add_special_tokens=False).ids]
+
+
 def test_packing_query(spark):
     t = Tokenizer.from_file(BYTE)
     texts = ["", None, "short", "word " * 700, "a b c " * 1000, "<|endoftext|> x"] + ["some words here " * k for k in range(40)]
