@@ -627,10 +627,10 @@ def estimated_homographies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def stitched_mosaics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mosaics of synthetic captures that overlap, for six areas."""
+    """Mosaics of synthetic captures that overlap, for every area."""
     from canopyspark.plans.scenes import captures_of
 
-    tiles = captures_of(view(spark, sf_dir, "areas").where("aoi_id < 6").select("aoi_id"))
+    tiles = captures_of(view(spark, sf_dir, "every_area"))
     m = mosaic.stitch(tiles)
     return m.select("aoi_id", "n_captures", "n_used", "bands", "rows", "cols", F.transform("transform", lambda v: F.round(v, 1)).alias("transform"))
 
@@ -640,7 +640,7 @@ def detailed_mosaics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mosaics of the same captures, registered together and blended."""
     from canopyspark.plans.scenes import captures_of
 
-    tiles = captures_of(view(spark, sf_dir, "areas").where("aoi_id < 4").select("aoi_id"))
+    tiles = captures_of(view(spark, sf_dir, "every_area"))
     centre = lambda c: F.aggregate("points", F.lit(0.0), lambda s, p: s + p[c]) / F.size("points")
     m = detailed.mosaics(tiles.withColumns({"x": centre("x"), "y": centre("y")}))
     return m.select("aoi_id", "n_captures", "n_used", "bands", "rows", "cols")
@@ -651,7 +651,7 @@ def aligned_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stacks of single bands moved onto the reference band, with their thumbnails' sizes."""
     from canopyspark.plans.scenes import bands_of
 
-    images = bands_of(view(spark, sf_dir, "areas").where("aoi_id < 8").select("aoi_id"))
+    images = bands_of(view(spark, sf_dir, "every_area"))
     shifts = spark.range(5).selectExpr("cast(id as int) as band", "array(1D, 0D, cast(id - 2 as double), 0D, 1D, 0D, 0D, 0D, 1D) as h")
     found = alignment.aligned(images, shifts, 5)
     return found.select("capture_id", "bands", "rows", "cols", F.octet_length("image").alias("bytes"), (F.octet_length("thumbnail") > 0).alias("has_thumbnail"))

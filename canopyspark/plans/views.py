@@ -47,7 +47,9 @@ IMAGES = """
 select event_id as id, concat('Images/set', cast(user_id % 3 as varchar), '/IMG_', cast(event_id as varchar), '_', cast(event_id % 5 + 1 as varchar), '.tif') as path,
   cast(floor(event_id / cast(5 as double)) as bigint) as capture from events
 """
-VIEWS = {"pixels": PIXELS, "captures": CAPTURES, "areas": AREAS, "polygons": POLYGONS, "grid": GRID, "chunk_labels": LABELS, "images": IMAGES}
+#: All areas, also those beyond the ones that pixels are made for.
+EVERY_AREA = "select cast(s_suppkey as int) as aoi_id from supplier"
+VIEWS = {"every_area": EVERY_AREA, "pixels": PIXELS, "captures": CAPTURES, "areas": AREAS, "polygons": POLYGONS, "grid": GRID, "chunk_labels": LABELS, "images": IMAGES}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
