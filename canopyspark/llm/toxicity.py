@@ -154,10 +154,8 @@ class Lexicon:
                 continue
             # the clause around the hit; what precedes it was searched already
             begin = done
-            for m in CLAUSE.finditer(text, max(done, hit.start() - 400), hit.start()):
+            for m in CLAUSE.finditer(text, done, hit.start()):
                 begin = m.end()
-            if begin == done and hit.start() - 400 > done:
-                begin = max(done, text.rfind(" ", 0, hit.start() - 400))
             stop = CLAUSE.search(text, hit.end())
             done = stop.start() if stop else len(text)
             state, weight = 0, 0.0
