@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -39,23 +39,45 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def hot_keys(rows: DataFrame, keys: list[str], total: int | None = None, share: int = 1024, least: int = 64) -> list[Row]:
+    """The values of ``keys`` that hold more than 1/``share`` of the rows, and more than ``least``: never more than ``share`` of them."""
+    limit = max(least, (rows.count() if total is None else total) // share)
+    return rows.groupBy(*keys).agg(F.count("*").alias("rows of a key")).where(F.col("rows of a key") > limit).select(*keys).collect()
+
+
+def join_each(rows: DataFrame, told: DataFrame, keys: list[str], hot: list[Row] | None = None) -> DataFrame:
+    """The inner join of ``rows`` with ``told``, which has one row for each value of ``keys``.
+
+    A value that holds a large share of the rows is not dealt to one task: what is told of such values, ``share``
+    rows of hot_keys() at most, goes to every task, and the other rows are joined by a shuffle. ``rows`` is read
+    several times, so it should be kept.
+    """
+    hot = hot_keys(rows, keys) if hot is None else hot
+    if not hot:
+        return rows.join(told, keys)
+    few = F.broadcast(rows.sparkSession.createDataFrame(hot, rows.select(*keys).schema))
+    return rows.join(F.broadcast(told.join(few, keys, "left_semi")), keys).unionByName(rows.join(few, keys, "left_anti").join(told, keys))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of ``edges`` (src, dst long); label is the component's smallest node.
 
     Minimum propagation with pointer jumping: each round takes the smallest label among a node's
-    neighbours and then that label's own label, so a chain of n nodes needs about log n rounds. All
-    joins are on one key with partial aggregates behind them, so a node with very many neighbours
-    is split by adaptive execution and summed before the shuffle. No edges: an empty table.
+    neighbours and then that label's own label, so a chain of n nodes needs about log n rounds. A node with very
+    many neighbours, and a label that very many nodes share, are joined apart (join_each). No edges: an empty table.
     """
     edges = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("src <> dst")
     both = cut(edges.union(edges.select("dst", "src")).distinct())
     labels = cut(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("least")).select("node", F.least("node", "least").alias("label")))
-    while not labels.isEmpty():
-        near = both.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("low"))
+    nodes = labels.count()
+    centres = hot_keys(both, ["dst"]) if nodes else []
+    while nodes:
+        near = join_each(both, labels.withColumnRenamed("node", "dst"), ["dst"], centres).groupBy(F.col("src").alias("node")).agg(F.min("label").alias("near"))
+        lower = cut(labels.join(near, "node").select("node", "label", F.least("label", "near").alias("low")))
         # a label is itself a node, so its own lower label is found by one more join
         jump = lower.select(F.col("node").alias("low"), F.col("low").alias("lowest"))
-        after = cut(lower.join(jump, "low").select("node", F.least("low", "lowest").alias("label"), (F.least("low", "lowest") < F.col("label")).alias("moved")))
+        jumped = join_each(lower, jump, ["low"], hot_keys(lower, ["low"], nodes))
+        after = cut(jumped.select("node", F.least("low", "lowest").alias("label"), (F.least("low", "lowest") < F.col("label")).alias("moved")))
         labels = after.select("node", "label")
         if after.where("moved").isEmpty():
             break
