@@ -1,5 +1,5 @@
 """What several operators share."""
 
-from canopyspark.shared import components, cut, scratch, shared_dir, stable
+from canopyspark.shared import components, cut, hot_keys, join_each, scratch, shared_dir, stable
 
-__all__ = ["components", "cut", "scratch", "shared_dir", "stable"]
+__all__ = ["components", "cut", "hot_keys", "join_each", "scratch", "shared_dir", "stable"]

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopyspark.llm.common import components, cut, stable
+from canopyspark.llm.common import components, cut, join_each, stable
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 SEED = 42
@@ -87,9 +87,9 @@ def links(nodes: DataFrame, hot: int = 64) -> DataFrame:
         mask = sum(((1 << width) - 1) << (width * b) for b in chosen)
         masks.append(signed(mask))
     keys = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("block")) for k, m in enumerate(masks)])
-    keyed = nodes.select("fp", F.explode(keys).alias("key")).select("fp", "key.k", "key.block")
+    keyed = cut(nodes.select("fp", F.explode(keys).alias("key")).select("fp", "key.k", "key.block"))
     sizes = keyed.groupBy("k", "block").agg(F.count("*").alias("n")).where("n > 1")
-    grouped = cut(keyed.join(sizes, ["k", "block"]))
+    grouped = cut(join_each(keyed, sizes, ["k", "block"]))
     cold = grouped.where(F.col("n") <= hot).select("k", "block", "fp")
     pairs = (
         cold.withColumnRenamed("fp", "src")
@@ -116,12 +116,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fingerprints only, and only fingerprints with a link enter the component rounds.
     """
     rows = cut(fingerprints(docs, id_col, text_col, words, carry))
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     labels = components(links(nodes.select("fp")))
-    named = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    named = cut(nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp")))
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
     return (
-        rows.join(named.join(least, "label").select("fp", "component_id"), "fp")
+        join_each(rows, join_each(named, least, ["label"]).select("fp", "component_id"), ["fp"])
         .select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", *([carry] if carry else []))
     )
 
