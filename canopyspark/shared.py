@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -39,23 +39,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def hot_keys(rows: DataFrame, keys: list[str], total: int | None = None, share: int = 1024, least: int = 64) -> list[Row]:
-    """The values of ``keys`` that hold more than 1/``share`` of the rows, and more than ``least``: never more than ``share`` of them."""
+def hot_keys(rows: DataFrame, keys: list[str], total: int | None = None, share: int = 1024, least: int = 64) -> DataFrame | None:
+    """The values of ``keys`` that hold more than 1/``share`` of the rows, and more than ``least``: never more than ``share`` of them. None if there are none."""
     limit = max(least, (rows.count() if total is None else total) // share)
-    return rows.groupBy(*keys).agg(F.count("*").alias("rows of a key")).where(F.col("rows of a key") > limit).select(*keys).collect()
+    found = cut(rows.groupBy(*keys).agg(F.count("*").alias("rows of a key")).where(F.col("rows of a key") > limit).select(*keys))
+    return None if found.isEmpty() else found
 
 
-def join_each(rows: DataFrame, told: DataFrame, keys: list[str], hot: list[Row] | None = None) -> DataFrame:
+def join_each(rows: DataFrame, told: DataFrame, keys: list[str], hot: DataFrame | None | str = "sought") -> DataFrame:
     """The inner join of ``rows`` with ``told``, which has one row for each value of ``keys``.
 
     A value that holds a large share of the rows is not dealt to one task: what is told of such values, ``share``
     rows of hot_keys() at most, goes to every task, and the other rows are joined by a shuffle. ``rows`` is read
     several times, so it should be kept.
     """
-    hot = hot_keys(rows, keys) if hot is None else hot
-    if not hot:
+    hot = hot_keys(rows, keys) if isinstance(hot, str) else hot
+    if hot is None:
         return rows.join(told, keys)
-    few = F.broadcast(rows.sparkSession.createDataFrame(hot, rows.select(*keys).schema))
+    few = F.broadcast(hot)
     return rows.join(F.broadcast(told.join(few, keys, "left_semi")), keys).unionByName(rows.join(few, keys, "left_anti").join(told, keys))
 
 
@@ -70,7 +71,7 @@ def components(edges: DataFrame) -> DataFrame:
     both = cut(edges.union(edges.select("dst", "src")).distinct())
     labels = cut(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("least")).select("node", F.least("node", "least").alias("label")))
     nodes = labels.count()
-    centres = hot_keys(both, ["dst"]) if nodes else []
+    centres = hot_keys(both, ["dst"]) if nodes else None
     while nodes:
         near = join_each(both, labels.withColumnRenamed("node", "dst"), ["dst"], centres).groupBy(F.col("src").alias("node")).agg(F.min("label").alias("near"))
         lower = cut(labels.join(near, "node").select("node", "label", F.least("label", "near").alias("low")))
