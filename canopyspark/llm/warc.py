@@ -9,7 +9,10 @@ or of any record when the reader asks for none, is skipped by seeking.
 ``dedupe`` decides which page of equal payloads is the response and which ones revisit it, from digests
 alone: payloads do not travel but to the writer.
 
-Edge cases: a null payload is empty; empty payloads are equal to each other; repeated page ids keep a row
+Archives of gzip members (``.warc.gz``) are read too, a partition each. A writer in mode overwrite replaces the
+folder's archives when all its own are complete. URIs come back as they were written, white space included.
+
+Edge cases: a null in a list that a header is compared with equals nothing; a null payload is empty; empty payloads are equal to each other; repeated page ids keep a row
 each, the first written of the smallest id being the response; null ids come last and never are a response
 unless all ids of the payload are null; an empty table gives an empty archive and an empty table; other
 columns are ignored.
@@ -18,11 +21,13 @@ columns are ignored.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -41,6 +46,8 @@ FIELDS = {
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2000-01-01T00:00:00Z"
 BUFFER = 1 << 20
+#: Characters of a URI that stand in a header as they are; others, and the percent sign, are percent-encoded and come back as they were.
+PRINTABLE = "".join(chr(c) for c in range(33, 127) if chr(c) != "%")
 
 
 def digest(payload: bytes) -> str:
@@ -55,7 +62,7 @@ def record(kind: str, payload: bytes, sha: str, size: int, record_id: str, uri:
         f"X-Payload-Bytes: {size}", "Content-Type: text/html; charset=utf-8",
     ]
     if uri is not None:
-        head.append("WARC-Target-URI: " + " ".join(uri.split()))
+        head.append("WARC-Target-URI: " + quote(uri, safe=PRINTABLE))
     if page_id is not None:
         head.append(f"X-Page-ID: {page_id}")
     if kind == "revisit":
@@ -94,6 +101,12 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 
 
+def archive(where: fs.FileSystem, path: str) -> io.BufferedIOBase:
+    """An archive to read from its beginning; a ``.gz`` one is a run of gzip members, which are unpacked as they are read."""
+    raw = io.BufferedReader(where.open_input_file(path), BUFFER)
+    return gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else raw
+
+
 @dataclass
 class Span(InputPartition):
     """A run of whole records of one archive."""
@@ -120,7 +133,7 @@ class WarcReader(DataSourceReader):
             if column in FIELDS and isinstance(f, EqualTo) and f.value is not None:
                 self._allow(column, {f.value})
             elif column in FIELDS and isinstance(f, In):
-                self._allow(column, set(f.value))
+                self._allow(column, {v for v in f.value if v is not None})  # nothing equals null
             elif column in FIELDS and isinstance(f, IsNotNull):
                 self.needed.add(column)
             else:
@@ -134,12 +147,12 @@ class WarcReader(DataSourceReader):
         where, root = opened(self.path)
         found = []
         for info in where.get_file_info(fs.FileSelector(root, recursive=True)):
-            if not info.path.endswith(".warc"):
+            if not info.path.endswith((".warc", ".warc.gz")):
                 continue
             uri = self.path.rstrip("/") + info.path[len(root.rstrip("/")) :]
             index = info.path[: -len(".warc")] + ".idx"
             cuts = [0]
-            if info.size > self.split and where.get_file_info(index).type == fs.FileType.File:
+            if info.path.endswith(".warc") and info.size > self.split and where.get_file_info(index).type == fs.FileType.File:
                 with where.open_input_stream(index) as f:
                     for at in map(int, f.read().split()):
                         if at - cuts[-1] >= self.split:
@@ -153,10 +166,12 @@ class WarcReader(DataSourceReader):
         where, path = opened(span.path)
         rows: list[tuple] = []
         held = 0
-        with io.BufferedReader(where.open_input_file(path), BUFFER) as f:
-            f.seek(span.start)
+        with archive(where, path) as f:
+            if span.start:
+                f.seek(span.start)
             for header, size in parse(f, span.stop):
                 row = {c: header.get(h.lower()) for c, h in FIELDS.items()}
+                row["target_uri"] = row["target_uri"] and unquote(row["target_uri"])
                 for c in ("record_id", "refers_to"):
                     row[c] = row[c] and row[c].strip("<>")
                 row["payload_digest"] = row["payload_digest"] and row["payload_digest"].removeprefix("sha1:")
@@ -187,8 +202,8 @@ class Written(WriterCommitMessage):
 class WarcWriter(DataSourceArrowWriter):
     """One archive and its index of record offsets per task, in files of their own names until the commit."""
 
-    def __init__(self, options: dict[str, str], schema) -> None:
-        self.path = options["path"].rstrip("/")
+    def __init__(self, options: dict[str, str], schema, overwrite: bool = False) -> None:
+        self.path, self.overwrite = options["path"].rstrip("/"), overwrite
         self.names = [f.name for f in schema.fields]
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
@@ -210,7 +225,12 @@ class WarcWriter(DataSourceArrowWriter):
         return Written(name + ".open", name + ".idx")
 
     def commit(self, messages: list[Written | None]) -> None:
-        where, _ = opened(self.path)
+        where, root = opened(self.path)
+        if self.overwrite:
+            new = {x for m in messages if m is not None for x in (m.path, m.index)}
+            for info in where.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True)):
+                if info.path.endswith((".warc", ".warc.gz", ".idx")) and info.path not in new:
+                    where.delete_file(info.path)
         for m in messages:
             if m is not None:
                 where.move(m.path, m.path[: -len(".open")] + ".warc")
@@ -240,7 +260,7 @@ class WarcSource(DataSource):
         return WarcReader(self.options, schema)
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options, schema)
+        return WarcWriter(self.options, schema, overwrite)
 
 
 def register(spark: SparkSession) -> None:
