@@ -1,8 +1,8 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A vector's code holds the signs of its components. Codes are cut into ``SEGMENTS`` segments, and every
-distinct code is indexed under each segment's value. Searching all segments to radius r finds every code
-within SEGMENTS * (r + 1) - 1 bits. Each round probes the segment values at exactly one radius more,
+A vector's code holds the signs of its components, in words of 64 bits, as many as the longest vector asks for. Codes
+are cut into segments of ``WIDTH`` bits, and every distinct code is indexed under each segment's value. Searching all
+n segments to radius r finds every code within n * (r + 1) - 1 bits. Each round probes the segment values at exactly one radius more,
 verifies the codes found there against the query's k-th distance so far, and retires the queries whose k-th
 distance the rounds provably cover. A first round looks up whole codes within one bit, which settles
 queries inside large groups of near-equal codes without reading such a group's buckets.
@@ -11,8 +11,8 @@ A code keeps its k + 1 smallest ids only: no other can be among the k nearest, w
 id, and so a code that a third of all rows share costs no more than any other. Each round's probes are
 broadcast if they are few, and joined with a shuffle otherwise.
 
-Edge cases: vectors that are null, empty, longer than 64 components or hold null or non-finite components
-are neither found nor searched for; null ids likewise; a repeated id counts once, with its smallest code;
+Edge cases: vectors that are null or empty or hold null or non-finite components
+are neither found nor searched for; null ids likewise; a repeated id counts once, with its smallest code; components that shorter vectors lack count as not above zero;
 fewer than k other rows give fewer results; an empty table gives an empty table; other columns are ignored.
 """
 
@@ -23,22 +23,38 @@ from pyspark.sql import functions as F
 
 from canopyspark.llm.common import cut
 
-BITS, SEGMENTS = 64, 4
-WIDTH = BITS // SEGMENTS
+#: Bits of a word of a code and of a segment.
+WORD, WIDTH = 64, 16
 #: Probes of a round that are broadcast at most; each is a few dozen bytes.
 BROADCAST_PROBES = 100_000
 
 
-def sign_code(vector: str) -> Column:
-    """Bit i is 1 where component i is above zero."""
-    return F.expr(f"aggregate(transform(`{vector}`, (x, i) -> case when x > 0 then shiftleft(1L, i) else 0L end), 0L, (a, b) -> a | b)")
+def sign_word(vector: str, word: int) -> Column:
+    """Bit i of a word is 1 where component i of its 64 is above zero; components that a vector lacks are 0."""
+    own = f"slice(`{vector}`, {word * WORD + 1}, {WORD})"
+    return F.expr(f"aggregate(transform({own}, (x, i) -> case when x > 0 then shiftleft(1L, i) else 0L end), 0L, (a, b) -> a | b)")
 
 
 def codes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id, code) for the vectors that can be searched, one row per id."""
-    v = F.col(vector_col)
-    usable = v.isNotNull() & F.size(v).between(1, BITS) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return vectors.where(usable & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), sign_code(vector_col).alias("code")).groupBy("id").agg(F.min("code").alias("code"))
+    """(id, code) for the vectors that can be searched, one row per id; code has as many words as the longest vector asks for."""
+    v = F.col(f"`{vector_col}`")
+    usable = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = vectors.where(usable & F.col(f"`{id_col}`").isNotNull())
+    words = -(-(rows.agg(F.max(F.size(v)).alias("n")).first().n or 1) // WORD)
+    code = F.struct(*[sign_word(vector_col, w).alias(f"w{w}") for w in range(words)])
+    return rows.select(F.col(f"`{id_col}`").cast("long").alias("id"), code.alias("code")).groupBy("id").agg(F.min("code").alias("code"))
+
+
+def words_of(rows: DataFrame) -> list[str]:
+    return rows.schema["code"].dataType.names
+
+
+def apart(a: Column, b: Column, words: list[str]) -> Column:
+    """Hamming distance of two codes."""
+    found = F.lit(0)
+    for w in words:
+        found = found + F.bit_count(a[w].bitwiseXOR(b[w]))
+    return found
 
 
 def flips(of: DataFrame, width: int, radius: int) -> DataFrame:
@@ -61,8 +77,13 @@ def n_flips(width: int, radius: int) -> int:
 def top_k(indexed: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, id, distance): the k rows of ``indexed`` (id, code) nearest each of ``queries`` (id, code), itself
     left out, by Hamming distance and then id."""
+    words = words_of(indexed)
+    bits, segments = WORD * len(words), WORD // WIDTH * len(words)
     first = indexed.selectExpr("code", "id", "row_number() over (partition by code order by id) as nth").where(F.col("nth") <= k + 1)
-    segment = F.array(*[F.struct(F.lit(s).alias("segment"), F.expr(f"shiftrightunsigned(code, {s * WIDTH}) & {(1 << WIDTH) - 1}L").alias("value")) for s in range(SEGMENTS)])
+    segment = F.array(*[
+        F.struct(F.lit(w * (WORD // WIDTH) + s).alias("segment"), F.expr(f"shiftrightunsigned(code.{name}, {s * WIDTH}) & {(1 << WIDTH) - 1}L").alias("value"))
+        for w, name in enumerate(words) for s in range(WORD // WIDTH)
+    ])
     by_code = cut(first.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")))
     index = cut(by_code.select("code", "ids", F.explode(segment).alias("at")).select("code", "ids", "at.segment", "at.value"))
     wanted = min(k, max(0, indexed.count() - 1))
@@ -70,23 +91,26 @@ def top_k(indexed: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     found = None
     if not wanted:
         return active.limit(0).select("query_id", F.lit(0).alias("rank"), F.col("query_id").alias("id"), F.lit(0).alias("distance"))
-    state = active.withColumn("worst", F.lit(BITS + 1))
-    rounds = [("whole", 1, 1)] + [("segment", r, SEGMENTS * (r + 1) - 1) for r in range(WIDTH + 1)]
+    state = active.withColumn("worst", F.lit(bits + 1))
+    rounds = [("whole", 1, 1)] + [("segment", r, segments * (r + 1) - 1) for r in range(WIDTH + 1)]
     done = None
     for kind, radius, covered in rounds:
         many = state.count()
         if not many:
             break
         if kind == "whole":
-            probes = flips(state, BITS, 0).union(flips(state, BITS, 1)).select("query_id", F.col("code").alias("own"), "worst", F.col("code").bitwiseXOR(F.col("mask")).alias("code"))
-            keys, target, n = ["code"], by_code, many * (1 + BITS)
+            own = state.select("query_id", F.col("code").alias("own"), "worst")
+            one = flips(own, WORD, 1)
+            changed = [F.struct(*[(F.col("own")[w].bitwiseXOR(F.col("mask")) if w == name else F.col("own")[w]).alias(w) for w in words]) for name in words]
+            probes = own.select("*", F.col("own").alias("code")).unionByName(one.select("query_id", "own", "worst", F.explode(F.array(*changed)).alias("code")))
+            keys, target, n = ["code"], by_code, many * (1 + bits)
         else:
             probes = flips(state.select("query_id", F.col("code").alias("own"), "worst", F.explode(segment).alias("at")), WIDTH, radius)
             probes = probes.select("query_id", "own", "worst", "at.segment", F.col("at.value").bitwiseXOR(F.col("mask")).alias("value"))
-            keys, target, n = ["segment", "value"], index, many * SEGMENTS * n_flips(WIDTH, radius)
-        if n <= BROADCAST_PROBES:
+            keys, target, n = ["segment", "value"], index, many * segments * n_flips(WIDTH, radius)
+        if n * len(words) <= BROADCAST_PROBES:
             probes = F.broadcast(probes)
-        far = F.bit_count(F.col("own").bitwiseXOR(target["code"]))
+        far = apart(F.col("own"), target["code"], words)
         hit = target.join(probes, [target[c] == probes[c] for c in keys]).where(far <= F.col("worst"))
         hit = hit.select("query_id", target["code"].alias("code"), "ids", far.cast("int").alias("distance")).dropDuplicates(["query_id", "code"])
         near = hit.select("query_id", F.explode("ids").alias("id"), "distance").where("id <> query_id")
@@ -98,8 +122,8 @@ def top_k(indexed: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         reach = best.groupBy("query_id").agg(F.count("*").alias("n"), F.max("distance").alias("far"))
         state = cut(
             state.join(reach, "query_id", "left")
-            .where(~((F.coalesce("n", F.lit(0)) == wanted) & (F.coalesce("far", F.lit(BITS + 1)) <= covered)))
-            .select("query_id", "code", F.when(F.col("n") == wanted, F.col("far")).otherwise(BITS + 1).alias("worst"))
+            .where(~((F.coalesce("n", F.lit(0)) == wanted) & (F.coalesce("far", F.lit(bits + 1)) <= covered)))
+            .select("query_id", "code", F.when(F.col("n") == wanted, F.col("far")).otherwise(bits + 1).alias("worst"))
         )
         # queries that are covered leave with what they have; the others carry theirs on
         settled = best.join(state.select("query_id"), "query_id", "left_anti")
@@ -117,14 +141,12 @@ def search(vectors: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec
 ORACLE_SQL = """
 with usable as (
   select vec_id, embedding from embeddings
-  where vec_id is not null and len(embedding) between 1 and 64 and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))),
+  where vec_id is not null and len(embedding) > 0 and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))),
+wide as (select max(len(embedding)) as n from usable),
 coded as (
-  select vec_id, min(code) as code from (
-    select vec_id, list_sum(list_transform(range(len(embedding)), lambda i:
-      case when embedding[i + 1] > 0 then case when i = 63 then -9223372036854775808::hugeint else (1::hugeint << i::int) end else 0::hugeint end))::bigint as code
-    from usable) group by vec_id),
+  select vec_id, rpad(list_aggregate(list_transform(embedding, lambda x: case when x > 0 then '1' else '0' end), 'string_agg', ''), n::int, '0') as code from usable, wide),
 pairs as (
-  select q.vec_id as query_id, d.vec_id, bit_count(xor(q.code, d.code))::int as distance
+  select q.vec_id as query_id, d.vec_id, hamming(q.code, d.code)::int as distance
   from coded q join coded d on q.vec_id <> d.vec_id where q.vec_id % 100 = 0),
 ranked as (select *, row_number() over (partition by query_id order by distance, vec_id)::int as rank from pairs)
 select query_id, rank, vec_id, distance from ranked where rank <= 10
