@@ -17,12 +17,14 @@ ranked in one task, and each piece finds its slot by binary search in the broadc
 capacity bounds.
 
 Edge cases: a null or empty text is the end mark alone; repeated rows and null ids are packed like any
-other row; an empty table gives an empty table; very long texts are cut; other columns are ignored.
+other row; an empty table gives an empty table; very long texts are cut into pieces, and texts with very long
+runs of blanks or letters are encoded by the library that has no limit for them; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from bisect import bisect_right, insort
 from collections import defaultdict
@@ -30,12 +32,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
-
 import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from canopyspark.llm.bpe import byte_letters
 from canopyspark.llm.common import cut
@@ -45,6 +47,29 @@ SALTS = 128
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+#: Characters of one piece that the faster library is given at most: its pattern engine keeps a stack for white space,
+#: and its merging of one piece takes time with the square of the length.
+LONGEST = 4096
+#: What may hold a longer piece: a run of white space, of letters, of numbers or of other characters.
+LONG_RUN = re.compile(rf"\s{{{LONGEST},}}|[^\W\d_]{{{LONGEST},}}|\d{{{LONGEST},}}|[^\s\w]{{{LONGEST},}}|(?:[^\s\w]|_){{{LONGEST},}}|\w{{{LONGEST},}}")
+
+
+@lru_cache(2)
+def exact(path: str) -> Tokenizer:
+    """The vocabulary in the tokenizers library itself, for texts with very long pieces."""
+    found = Tokenizer.from_file(path)
+    found.no_padding()
+    found.no_truncation()
+    return found
+
+
+def encoded(path: str, text: str) -> list[int]:
+    """The ids of a text: by the faster library, or by the tokenizers library where a run of one kind of character is very long."""
+    if len(text) >= LONGEST and LONG_RUN.search(text):
+        return exact(path).encode(text, add_special_tokens=False).ids
+    return tokenizer(path).encode(text, allowed_special="all")
+
+
 @lru_cache(2)
 def tokenizer(path: str) -> tiktoken.Encoding:
     """A byte-level vocabulary of the tokenizers library in the library that is faster at whole texts.
@@ -203,11 +228,10 @@ def pieces(docs: DataFrame, path: str, capacity: int, end: int = 0, id_col: str
     """(doc_id, piece, start, length, ids_crc32): every text's ids and the end mark, cut where they exceed ``capacity``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(path)
         for batch in batches:
             rows = []
             for k, text in enumerate(batch.column(1)):
-                ids = np.array([*t.encode(text.as_py() or "", allowed_special="all"), end], dtype="<u4")
+                ids = np.array([*encoded(path, text.as_py() or ""), end], dtype="<u4")
                 first = len(ids) % capacity or capacity
                 for p, stop in enumerate(range(first, len(ids) + 1, capacity)):
                     start = 0 if p == 0 else stop - capacity
