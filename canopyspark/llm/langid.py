@@ -1,7 +1,8 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Texts are lower-cased, everything but letters becomes a space, and every n-gram of 1 to ``MAX_N``
-characters is hashed into one of ``BUCKETS`` features. A row of the sparse feature matrix is the list
+characters is hashed into one of ``BUCKETS`` features. A language's score is the logarithm of its share of the
+training texts plus those of its features' shares. A row of the sparse feature matrix is the list
 of a text's feature numbers; its product with the broadcast log-probability matrix is a gather and a
 segmented sum in numpy, made over slices of bounded length, so that a very long text needs no more
 memory than a short one.
@@ -14,6 +15,7 @@ go to the language first in alphabetical order; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -38,6 +40,10 @@ def letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
 
 
+def has_letter(text: str | None) -> bool:
+    return any(c.isalpha() for c in (text or "").lower())
+
+
 def slices(texts: list[str | None]) -> Iterator[tuple[int, str, int]]:
     """(index, characters, count): n-grams start at the first ``count`` characters; the rest is lookahead."""
     for i, text in enumerate(texts):
@@ -113,15 +119,25 @@ def fold(id_col: str, of: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % of
 
 
-def train(docs: DataFrame, text_col: str, lang_col: str, alpha: float = 0.5) -> tuple[list[str], np.ndarray]:
-    """The languages in order and the log-probability matrix, BUCKETS x languages, from every row of ``docs``."""
+@dataclass(frozen=True)
+class Model:
+    """The languages in order, the log-probabilities of features (BUCKETS x languages) and those of languages."""
+
+    langs: list[str]
+    matrix: np.ndarray
+    prior: np.ndarray
+
+
+def train(docs: DataFrame, text_col: str, lang_col: str, alpha: float = 0.5) -> Model:
+    """A model from every row of ``docs``: features' shares with ``alpha`` added to each count, languages' shares of the texts."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
         for batch in parts:
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lang in set(langs):
-                c = counts([t for x, t in zip(langs, texts, strict=True) if x == lang])
+                own = [t for x, t in zip(langs, texts, strict=True) if x == lang]
+                c = np.append(counts(own), len(own))  # the last number is that of the texts
                 seen[lang] = seen[lang] + c if lang in seen else c
         for lang, c in seen.items():
             at = np.flatnonzero(c)
@@ -131,11 +147,12 @@ def train(docs: DataFrame, text_col: str, lang_col: str, alpha: float = 0.5) ->
     table = rows.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = table.column("lang").to_pylist()
     langs = sorted(set(names))
-    matrix = np.full((BUCKETS, len(langs)), alpha)
+    seen = np.zeros((BUCKETS + 1, len(langs)))
     if langs:
         at = {lang: k for k, lang in enumerate(langs)}
-        matrix[table.column("bucket").to_numpy(), [at[x] for x in names]] += table.column("n").to_numpy()
-    return langs, np.log(matrix / matrix.sum(axis=0)).astype(np.float32)
+        seen[table.column("bucket").to_numpy(), [at[x] for x in names]] = table.column("n").to_numpy()
+    matrix, texts = seen[:-1] + alpha, seen[-1]
+    return Model(langs, np.log(matrix / matrix.sum(axis=0)).astype(np.float32), np.log(texts / max(1.0, texts.sum())))
 
 
 def sample(rows: DataFrame, id_col: str, size: int) -> DataFrame:
@@ -145,31 +162,31 @@ def sample(rows: DataFrame, id_col: str, size: int) -> DataFrame:
     return rows if share == 1 else rows.where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("sample")), F.lit(1 << 40)) < int(share * (1 << 40)))
 
 
-def best(texts: list[str | None], langs: list[str], matrix: np.ndarray) -> tuple[list[str], np.ndarray]:
+def best(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray]:
     """The language of each text and its share of the posterior probability."""
-    if not langs:
+    if not model.langs:
         return [UNKNOWN] * len(texts), np.zeros(len(texts))
-    total, n = scores(texts, matrix)
-    names = np.array([*langs, UNKNOWN], dtype=object)
+    total, n = scores(texts, model.matrix)
+    total += model.prior
+    names = np.array([*model.langs, UNKNOWN], dtype=object)
     score = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-    return names[np.where(n > 0, np.argmax(total, axis=1), len(langs))].tolist(), np.where(n > 0, score, 0.0)
+    return names[np.where(n > 0, np.argmax(total, axis=1), len(model.langs))].tolist(), np.where(n > 0, score, 0.0)
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) for every row of ``docs``."""
-    langs, matrix = model
-    shared = docs.sparkSession.sparkContext.broadcast(matrix)  # BUCKETS x languages, whatever the input
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages, whatever the input
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            names, score = best(batch.column(1).to_pylist(), langs, shared.value)
+            names, score = best(batch.column(1).to_pylist(), shared.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def fitted(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_rows: int) -> tuple[list[str], np.ndarray]:
+def fitted(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_rows: int) -> Model:
     """A model from about ``sample_rows`` rows with a language whose id is not in the held-out fold (crc32 mod 4 = 2)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     usable = rows.where((fold("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -183,16 +200,22 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 20_000) -> DataFrame:
-    """The rows of ``docs`` that are in a language at all; same columns, a null language filled in."""
-    langs, matrix = fitted(docs, id_col, text_col, lang_col, sample_rows)
-    shared = docs.sparkSession.sparkContext.broadcast(matrix)
+    """The rows of ``docs`` whose text has a letter, so that it is in a language at all; same columns, a null language filled in.
+
+    Where no language can be learned from, the same rows stay and a null language stays null.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(fitted(docs, id_col, text_col, lang_col, sample_rows))
     text_at, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            names, _ = best(batch.column(text_at).to_pylist(), langs, shared.value)
+            texts = batch.column(text_at).to_pylist()
+            if not shared.value.langs:
+                yield batch.filter(pa.array([has_letter(t) for t in texts], pa.bool_()))
+                continue
+            names, _ = best(texts, shared.value)
             filled = pc.coalesce(batch.column(lang_at), pa.array(names, batch.column(lang_at).type))
             batch = batch.set_column(lang_at, batch.schema.field(lang_at), filled)
             yield batch.filter(pa.array([x != UNKNOWN for x in names], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema) if langs else docs
+    return docs.mapInArrow(run, docs.schema)
