@@ -21,6 +21,8 @@ Filters that store nothing drop their probes. Large groups are dealt into chunks
 task holds more than a chunk of each; within a chunk pairs stay a matrix, of which link counts and a tree
 per group leave, not the pairs.
 
+Vectors are scaled by their largest component before they are squared, so that finite ones of any size are compared.
+
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components, and null labels, link
 with nothing; vectors of different lengths do not link; a repeated id is a vector of its own; a null id
 has the smallest id it reaches, or null, as its component and is not kept; an empty table gives an empty
@@ -38,17 +40,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopyspark.llm.common import components, cut
+from canopyspark.llm.common import components, cut, join_each
 
 BLOCKS, SEED = 2, 7
-PER_FILTER, LEAST_WORDS, MOST_WORDS = 64, 8, 1024
+PER_FILTER, LEAST_WORDS = 64, 8
 #: Rows of either side that one group holds at most, about.
 CHUNK = 1024
 
 
 def words_for(classes: int) -> int:
     """Directions in each block for that many classes of one label."""
-    return min(MOST_WORDS, max(LEAST_WORDS, math.ceil((classes / PER_FILTER) ** (1 / BLOCKS))))
+    return max(LEAST_WORDS, math.ceil((classes / PER_FILTER) ** (1 / BLOCKS)))
 
 
 @lru_cache(8)
@@ -102,9 +104,14 @@ def filters(unit: np.ndarray, n_words: int, cos: float, certainty: float) -> Ite
         yield best, number, decode(products, cos * best - sin * slack - 1e-9)
 
 
+def units(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1, by their largest component first, so that no square overflows or vanishes."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def placed(classes: DataFrame, n_words: int, cos: float, certainty: float) -> DataFrame:
-    """A row per class and filter: stored (1) under its best filter, probing (0) the others and that one. Vectors travel as they came."""
-    stored = packed_type(classes)
+    """A row per class and filter: stored (1) under its best filter, probing (0) the others and that one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,22 +121,31 @@ def placed(classes: DataFrame, n_words: int, cos: float, certainty: float) -> Da
             for k, v in enumerate(vectors):
                 by_length.setdefault(len(v), []).append(k)
             for d, at in by_length.items():
-                x = np.array([vectors[k] for k in at], dtype=np.float64)
-                unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+                unit = units(np.array([vectors[k] for k in at], dtype=np.float64))
                 for k, (best, own, probed) in zip(at, filters(unit, n_words, cos, certainty), strict=True):
-                    packed = np.array(vectors[k], dtype=stored).tobytes()
-                    rows.append((k, d, own, 1, best, packed))
-                    rows += [(k, d, f, 0, best, packed) for f in probed]
-            for begin in range(0, len(rows), 4096):
-                k, d, f, side, best, packed = zip(*rows[begin : begin + 4096], strict=True)
+                    rows.append((k, d, own, 1, best))
+                    rows += [(k, d, f, 0, best) for f in probed]
+            for begin in range(0, len(rows), 1 << 16):
+                k, d, f, side, best = zip(*rows[begin : begin + (1 << 16)], strict=True)
                 pick = pa.array(k, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pick), batch.column(2).take(pick), batch.column(3).take(pick), pa.array(d, pa.int32()), pa.array(f, pa.int64()), pa.array(side, pa.int8()), pa.array(best, pa.float64()), pa.array(packed, pa.binary())],
-                    names=["class", "label", "n", "d", "filter", "side", "best", "packed"],
+                    [batch.column(0).take(pick), batch.column(2).take(pick), pa.array(d, pa.int32()), pa.array(f, pa.int64()), pa.array(side, pa.int8()), pa.array(best, pa.float64())],
+                    names=["class", "label", "d", "filter", "side", "best"],
                 )
 
-    rows = classes.select("class", "vector", "label", "n")
-    return rows.mapInArrow(run, "class long, label string, n long, d int, filter long, side byte, best double, packed binary")
+    return classes.select("class", "vector", "label").mapInArrow(run, "class long, label string, d int, filter long, side byte, best double")
+
+
+def packed(classes: DataFrame) -> DataFrame:
+    """(class, n, packed): the vectors of classes as bytes."""
+    stored = packed_type(classes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = [np.array(v, dtype=stored).tobytes() for v in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(data, pa.binary())], names=["class", "n", "packed"])
+
+    return classes.select("class", "n", "vector").mapInArrow(run, "class long, n long, packed binary")
 
 
 def packed_type(classes: DataFrame) -> str:
@@ -139,16 +155,20 @@ def packed_type(classes: DataFrame) -> str:
 KEY = ["label", "d", "filter"]
 
 
-def compared(rows: DataFrame, stored_as: str, cos: float) -> DataFrame:
-    """(class, root, links): what each group of stored and probing classes adds to a class's links, and a class it is joined to."""
+def compared(rows: DataFrame, vectors: DataFrame, stored_as: str, cos: float) -> DataFrame:
+    """(class, root, links): what each group of stored and probing classes adds to a class's links, and a class it is joined to.
+
+    rows: placed(), kept; vectors: packed(). Vectors join what is left when filters that decide nothing are gone.
+    """
     sizes = rows.groupBy(*KEY).agg(F.sum("side").alias("stored"), F.sum(F.lit(1) - F.col("side")).alias("probing")).where("stored > 0 and probing > 1")
     sizes = sizes.select(*KEY, F.ceil(F.col("stored") / CHUNK).cast("int").alias("s"), F.ceil(F.col("probing") / CHUNK).cast("int").alias("p"))
-    dealt = rows.join(sizes, KEY)
+    dealt = join_each(rows, sizes, KEY)
     own = F.pmod(F.xxhash64("class"), F.when(F.col("side") == 1, F.col("s")).otherwise(F.col("p"))).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 1, F.col("p")).otherwise(F.col("s")) - 1))
     dealt = dealt.withColumn("own", own).withColumn("other", other)
     row, column = F.when(F.col("side") == 1, F.col("own")).otherwise(F.col("other")), F.when(F.col("side") == 1, F.col("other")).otherwise(F.col("own"))
-    dealt = dealt.withColumns({"i": row, "j": column}).select(*KEY, "i", "j", "side", "class", "n", "best", "packed")
+    dealt = dealt.withColumns({"i": row, "j": column}).select(*KEY, "i", "j", "side", "class", "best")
+    dealt = dealt.join(vectors, "class").select(*KEY, "i", "j", "side", "class", "n", "best", "packed")
     group = [*KEY, "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,8 +192,8 @@ def compared(rows: DataFrame, stored_as: str, cos: float) -> DataFrame:
     def block(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(parts)
         side, number, n, best = (t.column(c).to_numpy() for c in ("side", "class", "n", "best"))
-        unit = np.frombuffer(b"".join(t.column("packed").to_pylist()), dtype=stored_as).reshape(len(side), -1).astype(np.float64)
-        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        unit = np.frombuffer(b"".join(t.column("packed").to_pylist()), dtype=stored_as).reshape(len(side), -1)
+        unit = units(unit.astype(np.float64))
         stored, probing = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
         near = unit[stored] @ unit[probing].T >= cos
         # a pair counts where the class with the larger product is stored; equal products go by number
@@ -204,18 +224,22 @@ def near_duplicates(vectors: DataFrame, cos: float = 0.98, certainty: float = 5.
     """(vec_id, n_links, component_id, kept) per row of ``vectors``."""
     v = F.col("vector")
     kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
-    rows = cut(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("vector"), F.col(label_col).cast("string").alias("label"), F.monotonically_increasing_id().alias("row")))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("vector"), F.col(label_col).cast("string").alias("label"), F.monotonically_increasing_id().alias("row"))
+    # equal vectors are told by two hashes, so that vectors need not travel to be compared with their copies
+    rows = cut(rows.withColumns({"key": F.xxhash64("label", "vector"), "key_2": F.xxhash64(F.lit("second"), "vector", "label")}))
     fit = F.col("label").isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     usable = rows.where(F.coalesce(fit, F.lit(False)))
-    classes = cut(usable.groupBy("label", "vector").agg(F.min("row").alias("class"), F.min("vec_id").alias("first"), F.count("*").alias("n")))
+    keys = ["key", "key_2"]
+    classes = cut(usable.groupBy(*keys).agg(F.min_by(F.struct("label", "vector"), "row").alias("one"), F.min("row").alias("class"), F.min("vec_id").alias("first"), F.count("*").alias("n")).select(*keys, "one.label", "one.vector", "class", "first", "n"))
     most = classes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first().n or 0
-    found = cut(compared(placed(classes, words_for(most), cos, certainty), packed_type(classes), cos))
+    found = cut(compared(cut(placed(classes, words_for(most), cos, certainty)), packed(classes), packed_type(classes), cos))
     links = found.groupBy("class").agg(F.sum("links").alias("links"))
     labels = components(found.select(F.col("class").alias("src"), F.col("root").alias("dst")))
-    named = classes.join(links, "class", "left").join(labels.withColumnRenamed("node", "class").withColumnRenamed("label", "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    named = classes.select("class", *keys, "first", "n").join(links, "class", "left").join(labels.withColumnsRenamed({"node": "class", "label": "component"}), "class", "left")
+    named = cut(named.withColumn("component", F.coalesce("component", "class")))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    told = named.join(least, "component").select(F.col("label").alias("label_of"), F.col("vector").alias("vector_of"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
-    linked = usable.join(told, (usable["label"] == told["label_of"]) & (usable["vector"] == told["vector_of"])).select("vec_id", "n_links", "component_id")
+    told = join_each(named, least, ["component"]).select(*keys, (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
+    linked = join_each(cut(usable.select("vec_id", *keys)), told, keys).select("vec_id", "n_links", "component_id")
     alone = rows.where(~F.coalesce(fit, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
