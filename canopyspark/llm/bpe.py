@@ -1,8 +1,9 @@
 """BPE encoding and decoding as a streaming transducer with bounded lookahead.
 
 A text is read in blocks that end at white space, where no token, no special token and no canonical
-composition can cross. Blocks are normalised and cut into pieces; a piece of up to ``WINDOW`` symbols is
-merged at once (and remembered, in a cache of bounded size), a longer one runs through a window:
+composition can cross; where there is none, a block ends within a run of letters or signs, whose piece stays
+open. Blocks are normalised and cut into pieces, and each piece runs through the transducer, which holds a
+window of symbols; a cache of bounded size remembers what it gave for short pieces:
 
 The merge list fixes how much lookahead suffices. Let two inputs agree on their first n symbols and
 apply the merges in rank order to both. The agreed tokens shrink only when a merge takes the last of them
@@ -16,7 +17,7 @@ Decoding walks the ids with a state machine: byte-level vocabularies give bytes
 decoder; a vocabulary without a decoder gives its pieces with a space between.
 
 Edge cases: a null text is empty; an empty text has no tokens and decodes to an empty text; strings of
-special tokens in a text become those tokens; repeated rows and null ids keep a row each; an empty table
+special tokens in a text become those tokens; a very long text without blanks is read in blocks all the same; repeated rows and null ids keep a row each; an empty table
 gives an empty table; other columns are ignored.
 """
 
@@ -32,6 +33,7 @@ import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -216,26 +218,48 @@ class Merges:
                 push(before[i])
         return [x for x, y in zip(ids, alive, strict=True) if y]
 
-    def stream(self, symbols: Iterable[int], last: int | None) -> Iterator[list[int]]:
-        """Tokens of a piece of any length from its symbols, in constant memory; last: the symbol that ends it."""
-        held: list[int] = []
-        for symbol in symbols:
-            held.append(symbol)
-            if len(held) >= self.window and self.proper:
-                tokens = self.merge_long(list(held))
-                limit, size, stable = len(held) - self.lookahead, 0, 0
-                for t in tokens:
-                    if size + self.length.get(t, 1) > limit:
-                        break
-                    size += self.length.get(t, 1)
-                    stable += 1
-                if stable:
-                    yield tokens[:stable]
-                    del held[:size]
-        if last is not None:
-            held.append(last)
-        if held:
-            yield self.merge_long(held)
+    def running(self) -> Running:
+        return Running(self)
+
+
+class Running:
+    """The transducer at work on one piece of any length: symbols in, tokens out once nothing can change them, in constant memory."""
+
+    def __init__(self, merges: Merges) -> None:
+        self.merges = merges
+        self.held: list[int] = []
+
+    def feed(self, symbols: Iterable[int]) -> list[int]:
+        """The tokens that these symbols make stable."""
+        m, held, out = self.merges, self.held, []
+        symbols = iter(symbols)
+        while True:
+            held += islice(symbols, m.window - len(held))
+            if len(held) < m.window or not m.proper:
+                held += symbols  # none are left, or no token is ever known early
+                return out
+            limit, size, stable = len(held) - m.lookahead, 0, 0
+            tokens = m.merge_long(list(held))
+            for t in tokens:
+                if size + m.length.get(t, 1) > limit:
+                    break
+                size += m.length.get(t, 1)
+                stable += 1
+            if not stable:
+                held += islice(symbols, m.window)
+                continue
+            out += tokens[:stable]
+            del held[:size]
+
+    def finish(self, last: int) -> list[int]:
+        """The tokens that are left when the piece ends with the symbol ``last``: nothing follows, so all are stable."""
+        held = [*self.held, last]
+        self.held = []
+        return self.merges.merge(held) if len(held) <= 64 else self.merges.merge_long(held)
+
+
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class Codec:
@@ -252,6 +276,7 @@ class Codec:
         self.merges = Merges(self.vocab, model["merges"], self.suffix)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.at_special = re.compile("(" + "|".join(sorted(map(re.escape, self.special), key=len, reverse=True)) + ")") if self.special else None
+        self.longest = max(map(len, self.special), default=0)
         names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.names = [names.get(i, "") for i in range(max(names) + 1)]
         self.byte_level = (spec.get("decoder") or {}).get("type") == "ByteLevel"
@@ -275,20 +300,27 @@ class Codec:
         self.known = Known()
 
     def piece(self, piece: str) -> bytes:
-        data = piece.encode("utf-8", "surrogatepass")
-        last = self.final[data[-1]]
-        if len(data) <= 64:
-            ids = self.merges.merge([self.inner[b] for b in data[:-1]] + [last])
-        else:
-            ids = [t for part in self.merges.stream((self.inner[b] for b in memoryview(data)[:-1]), last) for t in part]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def blocks(self, text: str) -> Iterator[str]:
+        """The ids of a whole piece: what the transducer emits for it. Pieces do not influence each other, so they may be remembered."""
+        run, data = self.merges.running(), piece.encode("utf-8", "surrogatepass")
+        ids = run.feed(map(self.inner.__getitem__, memoryview(data)[:-1]))
+        return packed(ids + run.finish(self.final[data[-1]]))
+
+    def soft(self, text: str, at: int, stop: int) -> int:
+        """Where a block without white space may end: within a run of letters or of signs, with no special token, contraction or composition across. 0 if nowhere."""
+        for p in range(stop, max(at + 4, stop - 256), -1):
+            a, b = text[p - 1], text[p]
+            alike = a.isalpha() and b.isalpha() or not (a.isalnum() or b.isalnum() or unicodedata.category(a)[0] in "NM" or unicodedata.category(b)[0] in "NM")
+            if alike and unicodedata.category(b)[0] != "M" and not 0x1160 <= ord(b) <= 0x11FF and "'" not in text[p - 4 : p + 4] and "<" not in text[max(at, p - self.longest) : p + 1]:
+                return p
+        return 0
+
+    def blocks(self, text: str) -> Iterator[tuple[str, bool]]:
+        """Parts of a text, and whether the last piece of each goes on in the next: only where there is no white space to end it at."""
         at = 0
         while at < len(text):
             size = BLOCK
             while True:
-                stop = at + size
+                stop, open_ = at + size, False
                 if stop >= len(text):
                     stop = len(text)
                     break
@@ -296,20 +328,37 @@ class Codec:
                 if cut >= at:
                     stop = cut + 1
                     break
+                if found := self.soft(text, at, stop):
+                    stop, open_ = found, True
+                    break
                 size *= 2
-            yield text[at:stop]
+            yield text[at:stop], open_
             at = stop
 
     def encode(self, text: str | None) -> Iterator[bytes]:
         """The ids, packed as little-endian unsigned 32-bit integers, a block at a time."""
         known = self.known.__getitem__
-        for block in self.blocks(text or ""):
+        run, last = None, 0  # a piece that is still open, and its last byte so far
+        for block, open_ in self.blocks(text or ""):
             parts = self.at_special.split(block) if self.at_special and "<" in block else [block]
             for k, part in enumerate(parts):
                 if k % 2:
-                    yield np.array([self.special[part]], dtype="<u4").tobytes()
-                elif part:
-                    yield b"".join(map(known, pieces(part)))
+                    yield packed([self.special[part]])
+                    continue
+                found = pieces(part) if part else []
+                if run is not None and found:  # the first piece goes on with the open one
+                    data = found.pop(0).encode("utf-8", "surrogatepass")
+                    yield packed(run.feed(map(self.inner.__getitem__, bytes([last]) + data[:-1])))
+                    last = data[-1]
+                    if found or not open_ or k < len(parts) - 1:
+                        yield packed(run.finish(self.final[last]))
+                        run = None
+                if open_ and k == len(parts) - 1 and found:
+                    run, data = self.merges.running(), found.pop().encode("utf-8", "surrogatepass")
+                    before, last = data[:-1], data[-1]
+                    yield b"".join(map(known, found)) + packed(run.feed(map(self.inner.__getitem__, before)))
+                elif found:
+                    yield b"".join(map(known, found))
 
     def decode(self, blocks: Iterable[bytes]) -> Iterator[str]:
         """Text of packed ids, a block at a time."""
