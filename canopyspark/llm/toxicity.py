@@ -1,8 +1,10 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 A lexical transducer maps words to classes (insult, threat, target, negation, report) with weights.
-Over the classes of a clause run four small transducers, composed into one table:
+Over the classes of a clause run five small transducers with weights on their arcs, composed into one table
+whose arcs carry the products:
 
+* insult: an insult counts, and more so if another stands just before it;
 * target: an insult after a word that names whom it is aimed at becomes a targeted insult;
 * threat: a threatening verb counts once a target follows it in the clause;
 * negation: an insult or threat within ``REACH`` words after a negation is a negated one;
@@ -10,14 +12,16 @@ Over the classes of a clause run four small transducers, composed into one table
 
 What a clause emits is scored, not words alone: the document's score is a logistic function of the
 weights of its emissions by kind and of their density. Insult words, and word beginnings for languages
-that build long words, are learned from labelled training rows next to a fixed seed list; the weights of
-the kinds are fitted on the same rows.
-
-Training uses about ``sample_rows`` labelled rows (all, if there are fewer); scoring covers every row and
-whole texts. Edge cases: null and empty texts score like a text without any match; labels that are null
-or of ids without a document are unused; no usable labels leave the seed list with fixed weights;
-repeated label rows of one id count once (the highest label); repeated documents score alike; an empty
-table gives an empty table; other columns are ignored.
+that build long words, are learned from labelled training rows next to a fixed seed list, and so are the
+weights of threats: all that pass a test of significance, however many. The weights of the kinds are fitted on
+the same rows.
+
+Training uses about ``sample_rows`` labelled rows, half of each class (all, if there are fewer); its share of
+each class is taken out of the fitted constant. Scoring covers every row and whole texts. Edge cases: null
+and empty texts score like a text without any match; labels that are null or of ids without a document are
+unused; labels of one class only, or none, leave the seed list with fixed weights; repeated label rows of one id
+count once (the highest label), of repeated documents of one id the smallest text teaches; repeated documents
+score alike; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -49,72 +53,82 @@ REACH = 3
 WORD = re.compile(r"[^\W\d_]+")
 CLAUSE = re.compile(r"[.!?;:\n|]")
 MIN_PREFIX, MAX_PREFIX = 4, 8
-#: A word counts so often in one document at most, so that a document of one repeated word teaches little.
-PER_DOC = 5
+#: Least log-odds of a learned word, and how many standard errors it must be above zero.
+LEAST_WEIGHT, ERRORS = 1.5, 4.0
+#: Weight of the arc of an insult right after another. What context is worth, a target or a negation, is fitted by kind.
+REPEATED = 1.25
 
 
 @dataclass(frozen=True)
 class Transducer:
-    """Deterministic: (state, symbol) -> (state, symbol); what has no arc keeps the state and the symbol."""
+    """Deterministic: (state, symbol) -> (state, symbol, weight); what has no arc keeps the state and the symbol, with weight 1."""
 
     start: object
     arcs: dict
 
     def step(self, state, symbol):
-        return self.arcs.get((state, symbol), (state, symbol))
+        return self.arcs.get((state, symbol), (state, symbol, 1.0))
+
+
+def insult_transducer() -> Transducer:
+    arcs = {(0, INSULT): (1, "insult", 1.0), (1, INSULT): (1, "insult", REPEATED)}
+    return Transducer(0, arcs | {(1, s): (0, s, 1.0) for s in (OTHER, THREAT, TARGET, NEGATION, REPORT)})
 
 
 def target_transducer() -> Transducer:
-    return Transducer(0, {(0, TARGET): (1, TARGET), (1, INSULT): (1, "aimed"), (0, INSULT): (0, "insult")})
+    return Transducer(0, {(0, TARGET): (1, TARGET, 1.0), (1, "insult"): (1, "aimed", 1.0)})
 
 
 def threat_transducer() -> Transducer:
-    return Transducer(0, {(0, THREAT): (1, OTHER), (1, THREAT): (1, OTHER), (1, TARGET): (0, "threat")})
+    return Transducer(0, {(0, THREAT): (1, OTHER, 1.0), (1, THREAT): (1, OTHER, 1.0), (1, TARGET): (0, "threat", 1.0)})
 
 
 def negation_transducer() -> Transducer:
     arcs = {}
     for left in range(REACH + 1):
         after = max(0, left - 1)
-        arcs[left, NEGATION] = (REACH, OTHER)
+        arcs[left, NEGATION] = (REACH, OTHER, 1.0)
         for symbol in (OTHER, TARGET, REPORT):
-            arcs[left, symbol] = (after, symbol)
+            arcs[left, symbol] = (after, symbol, 1.0)
         for symbol, kind in (("insult", "insult"), ("aimed", "insult"), ("threat", "threat")):
-            arcs[left, symbol] = (after, f"{kind}_negated" if left else symbol)
+            arcs[left, symbol] = (after, f"{kind}_negated", 1.0) if left else (after, symbol, 1.0)
     return Transducer(0, arcs)
 
 
 def report_transducer() -> Transducer:
-    arcs = {(0, REPORT): (1, OTHER)}
+    arcs = {(0, REPORT): (1, OTHER, 1.0)}
     for symbol, kind in (("insult", "insult"), ("aimed", "insult"), ("threat", "threat")):
-        arcs[1, symbol] = (1, f"{kind}_reported")
+        arcs[1, symbol] = (1, f"{kind}_reported", 1.0)
     return Transducer(0, arcs)
 
 
-def compose(*parts: Transducer) -> tuple[list[list[int]], list[list[int]]]:
-    """The cascade of transducers as two tables over state and class: the next state, and the kind emitted or -1."""
+def compose(*parts: Transducer) -> tuple[list[list[int]], list[list[int]], list[list[float]]]:
+    """The cascade of transducers as tables over state and class: the next state, the kind emitted or -1, and its weight."""
     start = tuple(p.start for p in parts)
-    number, table, out, todo = {start: 0}, [], [], [start]
+    number, table, out, weights, todo = {start: 0}, [], [], [], [start]
     while todo:
         state = todo.pop(0)
-        moves, kinds = [], []
+        moves, kinds, products = [], [], []
         for symbol in range(6):
-            after, x = [], symbol
+            after, x, product = [], symbol, 1.0
             for p, s in zip(parts, state, strict=True):
-                s, x = p.step(s, x)
+                s, x, w = p.step(s, x)
                 after.append(s)
+                product *= w
             goal = tuple(after)
             if goal not in number:
                 number[goal] = len(number)
                 todo.append(goal)
             moves.append(number[goal])
             kinds.append(KINDS.index(x) if x in KINDS else -1)
+            products.append(product)
         table.append(moves)
         out.append(kinds)
-    return table, out
+        weights.append(products)
+    return table, out, weights
 
 
-GRAMMAR = compose(target_transducer(), threat_transducer(), negation_transducer(), report_transducer())
+GRAMMAR = compose(insult_transducer(), target_transducer(), threat_transducer(), negation_transducer(), report_transducer())
 
 
 @dataclass
@@ -123,9 +137,10 @@ class Lexicon:
 
     words: dict[str, float]
     prefixes: dict[str, float]
+    threats: dict[str, float] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        self.fixed = {w: k for k, ws in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in ws}
+        self.fixed = {w: (k, self.threats.get(w, 1.0) if k == THREAT else 1.0) for k, ws in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in ws}
         whole = "|".join(sorted(map(re.escape, {*self.words, *THREATS}), key=len, reverse=True))
         begun = "|".join(sorted(map(re.escape, self.prefixes), key=len, reverse=True))
         #: Finds every clause that can emit anything: no other clause is read further.
@@ -135,7 +150,7 @@ class Lexicon:
     def word(self, w: str) -> tuple[int, float]:
         """Class and weight of a lower-case word."""
         if w in self.fixed:
-            return self.fixed[w], 1.0
+            return self.fixed[w]
         best = self.words.get(w, 0.0)
         for n in self.lengths:
             if n >= len(w):
@@ -147,7 +162,7 @@ class Lexicon:
         """Summed weights of each kind that the clauses emit, and at the end the number of words."""
         found = np.zeros(len(KINDS) + 1)
         text = (text or "").lower()
-        table, out = GRAMMAR
+        table, out, arcs = GRAMMAR
         done = 0
         for hit in self.trigger.finditer(text):
             if hit.start() < done:
@@ -163,9 +178,9 @@ class Lexicon:
                 kind, w = self.word(m[0])
                 if kind == THREAT:
                     weight = w
-                emitted, state = out[state][kind], table[state][kind]
+                emitted, arc, state = out[state][kind], arcs[state][kind], table[state][kind]
                 if emitted >= 0:
-                    found[emitted] += w if kind == INSULT else weight
+                    found[emitted] += arc * (w if kind == INSULT else weight)
         found[-1] = text.count(" ") + text.count("\n") + 1
         return found
 
@@ -190,62 +205,64 @@ class Model:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
-def grams(text: str | None, only: set[str] | None = None, stems: set[str] | None = None) -> Counter:
-    """How often each word ("w") and word beginning ("w*") occurs, up to PER_DOC each.
+def grams(text: str | None, only: set[str] | None = None, stems: set[str] | None = None) -> set[str]:
+    """The words ("w") and word beginnings ("w*") of a text.
 
     only: the words and beginnings that are wanted, and stems: those of them that are beginnings, without their stars.
     """
-    found: Counter = Counter()
-    for w, n in Counter(WORD.findall((text or "").lower())).items():
+    found = set()
+    for w in set(WORD.findall((text or "").lower())):
         if len(w) < 3:
             continue
         if only is None or w in only:
-            found[w] += n
+            found.add(w)
         for k in range(MIN_PREFIX, min(MAX_PREFIX, len(w) - 1) + 1):
             if stems is None or w[:k] in stems:
-                found[w[:k] + "*"] += n
-    return Counter({g: min(n, PER_DOC) for g, n in found.items()})
+                found.add(w[:k] + "*")
+    return found
 
 
 def gram_table(rows: DataFrame, only: set[str] | None = None) -> DataFrame:
-    """(gram, docs, uses) over all texts of ``rows``."""
+    """(gram, docs): in how many texts of ``rows`` each is."""
     stems = None if only is None else {g[:-1] for g in only if g.endswith("*")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs: Counter = Counter()
-        uses: Counter = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                seen = grams(text, only, stems)
-                uses.update(seen)
-                docs.update(seen.keys())
-        names = list(docs)
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([docs[g] for g in names], pa.int64()), pa.array([uses[g] for g in names], pa.int64())], names=["gram", "docs", "uses"])
+                docs.update(grams(text, only, stems))
+        yield pa.RecordBatch.from_arrays([pa.array(list(docs), pa.string()), pa.array(list(docs.values()), pa.int64())], names=["gram", "docs"])
+
+    return rows.select("text").mapInArrow(run, "gram string, docs long").groupBy("gram").agg(F.sum("docs").alias("docs"))
+
 
-    return rows.select("text").mapInArrow(run, "gram string, docs long, uses long").groupBy("gram").agg(F.sum("docs").alias("docs"), F.sum("uses").alias("uses"))
+def log_odds(toxic: int, clean: int, n: dict[int, int]) -> tuple[float, float]:
+    """How much likelier a toxic text has a word than a clean one, as a logarithm, and its standard error."""
+    a, b = toxic + 0.5, clean + 0.5
+    return math.log(a / (n[1] + 1) / (b / (n[0] + 1))), math.sqrt(max(1e-9, 1 / a - 1 / (n[1] + 1) + 1 / b - 1 / (n[0] + 1)))
 
 
-def learn(rows: DataFrame, max_candidates: int = 20_000, max_entries: int = 400) -> Model:
-    """A model from (text, toxic) rows, a bounded sample that is kept in the shared folder."""
+def learn(rows: DataFrame, shares: dict[int, float]) -> Model:
+    """A model from (text, toxic) rows, a bounded sample that is kept in the shared folder; shares: how much of each class it holds.
+
+    What reaches the driver is bounded by the sample: its words, and a vector of each row.
+    """
     seeds = dict.fromkeys(INSULTS, 3.0)
     n = {int(r.toxic): r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if min(n.get(0, 0), n.get(1, 0)) < 20:
+    if not n.get(0) or not n.get(1):
         return Model(Lexicon(seeds, {}), DEFAULT)
-    least = max(5, n[1] // 500)
-    toxic = gram_table(rows.where("toxic = 1")).where(F.col("docs") >= least).orderBy(F.desc("docs"), "gram").limit(max_candidates)
-    ones = {r.gram: (r.docs, r.uses) for r in toxic.collect()}
-    zeros = {r.gram: (r.docs, r.uses) for r in gram_table(rows.where("toxic = 0"), set(ones)).collect()}
-    ranked = []
-    for g, (docs, uses) in ones.items():
-        docs0, uses0 = zeros.get(g, (0, 0))
-        gain = math.log((docs / n[1]) / ((docs0 + 0.5) / n[0]))
-        weight = math.log((uses / n[1]) / ((uses0 + 0.5) / n[0]))
-        if weight > 1.5 and gain > 0.7:
-            ranked.append((-uses * weight, -len(g), g, weight))
+    # fewer toxic texts than this cannot pass the test, whatever the clean ones hold
+    ones = {r.gram: r.docs for r in gram_table(rows.where("toxic = 1")).where(F.col("docs") >= 3).collect()}
+    zeros = {r.gram: r.docs for r in gram_table(rows.where("toxic = 0"), set(ones)).collect()}
+    ranked, threats = [], {}
+    for g, docs in ones.items():
+        weight, error = log_odds(docs, zeros.get(g, 0), n)
+        if g in THREATS:
+            threats[g] = max(0.1, weight)
+        if weight > LEAST_WEIGHT and weight > ERRORS * error:
+            ranked.append((-docs * weight, -len(g), g, weight))
     words, prefixes = dict(seeds), {}
-    for _, _, g, weight in sorted(ranked)[: 4 * max_entries]:
-        if len(words) + len(prefixes) >= max_entries + len(seeds):
-            break
+    for _, _, g, weight in sorted(ranked):
         stem = g.rstrip("*")
         if any(stem[:k] in prefixes for k in range(MIN_PREFIX, len(stem) + 1)):
             continue
@@ -253,7 +270,7 @@ def learn(rows: DataFrame, max_candidates: int = 20_000, max_entries: int = 400)
             prefixes[stem] = weight
         else:
             words[stem] = weight
-    lexicon = Lexicon(words, prefixes)
+    lexicon = Lexicon(words, prefixes, threats)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,7 +278,9 @@ def learn(rows: DataFrame, max_candidates: int = 20_000, max_entries: int = 400)
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), batch.column(1)], names=["x", "toxic"])
 
     kept = rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "x array<double>, toxic int").toArrow()
-    return Model(lexicon, fit(np.array(kept.column("x").to_pylist()), kept.column("toxic").to_numpy().astype(float)))
+    weights = fit(np.array(kept.column("x").to_pylist()), kept.column("toxic").to_numpy().astype(float))
+    weights[0] -= math.log(shares[1] / shares[0])
+    return Model(lexicon, weights)
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
@@ -281,14 +300,16 @@ def fold(id_col: str) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 12_000) -> Model:
-    """Learn from about ``sample_rows`` labelled rows outside the held-out fold (crc32 mod 5 = 0), chosen by a hash of the id."""
+    """Learn from about ``sample_rows`` labelled rows outside the held-out fold (crc32 mod 5 = 0), half of each class, chosen by a hash of the id."""
     labels = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where((fold("doc_id") != 0) & F.col("toxic").isin(0, 1))
-    n = labels.count()
-    share = min(1.0, sample_rows / max(1, n))
-    chosen = labels.where(F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1 << 40)) < int(share * (1 << 40))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    labels = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    n = {r.toxic: r.n for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    shares = {c: min(1.0, sample_rows / 2 / max(1, n.get(c, 0))) for c in (0, 1)}
+    place = F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1 << 40))
+    chosen = labels.where(place < F.when(F.col("toxic") == 1, int(shares[1] * (1 << 40))).otherwise(int(shares[0] * (1 << 40))))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # the sample's ids are bounded by sample_rows, so they can be sent to every task
-    return learn(cut(docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic")))
+    return learn(cut(docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")), shares)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
