@@ -455,19 +455,20 @@ def band_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # matching
 def descriptors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    """Each 40 vectors are an image's; it is matched with the next image, which also has slightly bent copies of every third."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumn("image", F.expr("vec_id div 40"))
     bent = F.transform("embedding", lambda x, i: x.cast("double") + F.when(i == F.col("vec_id") % 64, 0.125).otherwise(0.0))
-    q = e.where("vec_id < 40").select((F.col("vec_id") % 4).alias("pair"), F.col("vec_id").alias("query"), F.col("embedding").cast("array<double>").alias("des"))
-    far = e.where("vec_id >= 250").select((F.col("vec_id") % 4).alias("pair"), F.col("vec_id").alias("target"), F.col("embedding").cast("array<double>").alias("des"))
-    near = e.where("vec_id < 40 and vec_id % 3 = 0").select((F.col("vec_id") % 4).alias("pair"), (F.col("vec_id") + 1000000).alias("target"), bent.alias("des"))
-    return q, far.unionByName(near)
+    q = e.select(F.col("image").alias("pair"), F.col("vec_id").alias("query"), F.col("embedding").cast("array<double>").alias("des"))
+    following = e.select((F.col("image") - 1).alias("pair"), F.col("vec_id").alias("target"), F.col("embedding").cast("array<double>").alias("des"))
+    near = e.where("vec_id % 3 = 0").select(F.col("image").alias("pair"), (F.col("vec_id") + 1000000000).alias("target"), bent.alias("des"))
+    return q, following.unionByName(near)
 
 
 MATCH_SQL = """
-with q as (select vec_id % 4 as pair, vec_id as query, embedding::double[] as des from embeddings where vec_id < 40),
+with q as (select vec_id // 40 as pair, vec_id as query, embedding::double[] as des from embeddings),
 t as (
-  select vec_id % 4 as pair, vec_id as target, embedding::double[] as des from embeddings where vec_id >= 250
-  union all select vec_id % 4, vec_id + 1000000, list_transform(embedding::double[], lambda x, i: x + case when i - 1 = vec_id % 64 then 0.125::double else 0 end) from embeddings where vec_id < 40 and vec_id % 3 = 0),
+  select vec_id // 40 - 1 as pair, vec_id as target, embedding::double[] as des from embeddings
+  union all select vec_id // 40, vec_id + 1000000000, list_transform(embedding::double[], lambda x, i: x + case when i - 1 = vec_id % 64 then 0.125::double else 0 end) from embeddings where vec_id % 3 = 0),
 d as (select q.pair, query, target, round(list_distance(q.des, t.des), 6) as dist from q join t on q.pair = t.pair),
 r as (select *, row_number() over (partition by pair, query order by dist, target)::int as rank from d),
 n as (select * from r where rank <= 2)"""
@@ -488,9 +489,9 @@ def matched_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.enough(matching.good_matches(matching.two_nearest(*descriptors(spark, sf_dir), ["pair"], 6), ["pair"]), ["pair"], least=3)
 
 
-@query(with_views(", i as (select distinct capture % 40 as grp, id as img from images where capture < 400) select a.grp, a.img as a, b.img as b from i a join i b on a.grp = b.grp and a.img < b.img", "images"))
+@query(with_views(", i as (select distinct capture // 4 as grp, id as img from images) select a.grp, a.img as a, b.img as b from i a join i b on a.grp = b.grp and a.img < b.img", "images"))
 def image_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = view(spark, sf_dir, "images").where("capture < 400").selectExpr("capture % 40 as grp", "id as img")
+    i = view(spark, sf_dir, "images").selectExpr("capture div 4 as grp", "id as img")
     return matching.all_pairs(i, "grp", "img")
 
 
@@ -536,9 +537,9 @@ def image_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "images").select("id", name.alias("name"), text.band_file(name, F.col("id") % 5 + 1).alias("file"))
 
 
-@query(with_views(" select distinct capture, 'IMG_' || capture::varchar || '_' || k::varchar || '.tif' as file from images, range(1, 6) t(k) where capture < 200", "images"))
+@query(with_views(" select distinct capture, 'IMG_' || capture::varchar || '_' || k::varchar || '.tif' as file from images, range(1, 6) t(k)", "images"))
 def band_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = view(spark, sf_dir, "images").where("capture < 200").select("capture").distinct()
+    c = view(spark, sf_dir, "images").select("capture").distinct()
     return c.select("capture", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("band")).select("capture", text.band_file(F.concat(F.lit("IMG_"), F.col("capture").cast("string")), F.col("band")).alias("file"))
 
 
@@ -630,7 +631,7 @@ def stitched_mosaics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mosaics of synthetic captures that overlap, for every area."""
     from canopyspark.plans.scenes import captures_of
 
-    tiles = captures_of(view(spark, sf_dir, "every_area"))
+    tiles = captures_of(view(spark, sf_dir, "areas").select("aoi_id"))
     m = mosaic.stitch(tiles)
     return m.select("aoi_id", "n_captures", "n_used", "bands", "rows", "cols", F.transform("transform", lambda v: F.round(v, 1)).alias("transform"))
 
@@ -640,7 +641,7 @@ def detailed_mosaics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mosaics of the same captures, registered together and blended."""
     from canopyspark.plans.scenes import captures_of
 
-    tiles = captures_of(view(spark, sf_dir, "every_area"))
+    tiles = captures_of(view(spark, sf_dir, "areas").select("aoi_id"))
     centre = lambda c: F.aggregate("points", F.lit(0.0), lambda s, p: s + p[c]) / F.size("points")
     m = detailed.mosaics(tiles.withColumns({"x": centre("x"), "y": centre("y")}))
     return m.select("aoi_id", "n_captures", "n_used", "bands", "rows", "cols")
@@ -651,17 +652,17 @@ def aligned_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stacks of single bands moved onto the reference band, with their thumbnails' sizes."""
     from canopyspark.plans.scenes import bands_of
 
-    images = bands_of(view(spark, sf_dir, "every_area"))
+    images = bands_of(view(spark, sf_dir, "areas").select("aoi_id"))
     shifts = spark.range(5).selectExpr("cast(id as int) as band", "array(1D, 0D, cast(id - 2 as double), 0D, 1D, 0D, 0D, 0D, 1D) as h")
     found = alignment.aligned(images, shifts, 5)
     return found.select("capture_id", "bands", "rows", "cols", F.octet_length("image").alias("bytes"), (F.octet_length("thumbnail") > 0).alias("has_thumbnail"))
 
 
 @query("""
-select o_orderkey as id, round(o_totalprice / 1000 * pi() / 0.49::double, 6) + 0.0::double as irradiance, round(o_totalprice / 2000 * pi() / (o_totalprice / 1000 * pi() / 0.49::double), 6) + 0.0::double as reflectance
-from orders where o_totalprice > 0""")
+select o_orderkey as id, round(o_totalprice / 1000 * pi() / 0.49::double, 6) + 0.0::double as irradiance, case when o_totalprice <> 0 then round(o_totalprice / 2000 * pi() / (o_totalprice / 1000 * pi() / 0.49::double), 6) + 0.0::double end as reflectance
+from orders""")
 def panel_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_totalprice > 0")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     light = alignment.panel_irradiance(F.col("o_totalprice") / 1000, F.lit(text.PANEL_REFLECTANCE))
     return o.select(F.col("o_orderkey").alias("id"), rounded(light, 6).alias("irradiance"), rounded(alignment.reflectance(F.col("o_totalprice") / 2000, light), 6).alias("reflectance"))
 
