@@ -8,6 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from canopyspark.functions.text import image_name
+
 
 def complete_captures(images: DataFrame, capture: str = "capture_id", order: str | None = None) -> DataFrame:
     """(capture, n_bands, complete): complete if a capture has as many images as the first one."""
@@ -26,6 +28,19 @@ def first_files(files: DataFrame, n: int, path: str = "path") -> DataFrame:
     return files.orderBy(path).limit(n)
 
 
+def appended(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """Rows of tables one after the other, by the names of their columns; columns that one lacks are NULL there."""
+    for other in others:
+        first = first.unionByName(other, allowMissingColumns=True)
+    return first
+
+
+def with_files(captures: DataFrame, files: DataFrame, name: str = "image_name", path: str = "path") -> DataFrame:
+    """Captures with the files of their bands by name; a capture without files stays, with a NULL path."""
+    named = files.withColumn(name, image_name(F.col(path)))
+    return captures.join(named, name, "left")
+
+
 def middle(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The middle row of each group, the upper one of two."""
     by = ", ".join(keys)
@@ -60,8 +75,6 @@ def single(rows: DataFrame, what: str) -> DataFrame:
 def capture_table(images: DataFrame) -> DataFrame:
     """One row per capture from its images' metadata: images has (capture_id, path, band, timestamp, latitude, longitude, altitude,
     yaw, pitch, roll, wavelength, irradiance); irradiances become a map by wavelength, as cameras differ in their bands."""
-    from canopyspark.functions.text import image_name
-
     first = lambda c: F.min_by(c, "band").alias(c)
     return images.groupBy("capture_id").agg(
         *[first(c) for c in ("timestamp", "latitude", "longitude", "altitude", "yaw", "pitch", "roll")],

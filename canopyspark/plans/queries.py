@@ -612,8 +612,21 @@ def capture_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("capture_id", "image_name", F.size("irradiance").alias("n_wavelengths"), add(F.map_keys("irradiance"), F.lit(0).cast("long")).alias("wavelengths"), add(F.map_values("irradiance"), F.lit(0.0)).alias("irradiance"))
 
 
-# no SQL: consensus and the fold
-@query()
+def as_laid(rows: int = 96, cols: int = 176, off: int = 16) -> F.Column:
+    """Whether a mosaic is as large as what its captures were cut from, but for the error of registration at its edges."""
+    return ((F.abs(F.col("rows") - rows) <= off) & (F.abs(F.col("cols") - cols) <= off)).alias("as_laid")
+
+
+# consensus and the fold: what is recovered is known in closed form
+@query(
+    with_views(
+        ", m as (select cap_id % 24 as pair, cap_id, (cap_id * 37 % 1280)::double as u, (cap_id * 71 % 960)::double as v from captures), "
+        "t as (select *, (1.01::double * u + 0.02::double * v + 12) / (0.00001::double * u - 0.00002::double * v + 1) as x, (-0.015::double * u + 0.99::double * v - 7) / (0.00001::double * u - 0.00002::double * v + 1) as y from m), "
+        "w as (select *, cap_id % 5 = 0 as wrong, (u * 7 + 300) % 1280 as wx, (v * 3 + 90) % 960 as wy from t) "
+        "select pair, count(*)::bigint as n, count(*) filter (not wrong or sqrt((wx - x) * (wx - x) + (wy - y) * (wy - y)) <= 5)::bigint as inliers, 1.01::double as h1, 0.02::double as h2, 12.0::double as h3, -0.015::double as h4, 0.99::double as h5, -7.0::double as h6, 0.00001::double as h7, -0.00002::double as h8, 1.0::double as h9 from w group by pair",
+        "captures",
+    )
+)
 def estimated_homographies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Homographies recovered from matches of which a fifth are wrong."""
     c = view(spark, sf_dir, "captures").select((F.col("cap_id") % 24).alias("pair"), "cap_id", F.expr(f"transform(array({', '.join(H)}), x -> x)").alias("any"))
@@ -623,20 +636,21 @@ def estimated_homographies(spark: SparkSession, sf_dir: str) -> DataFrame:
     wrong = F.col("cap_id") % 5 == 0
     points = c.select("pair", u.alias("sx"), v.alias("sy"), F.when(wrong, (u * 7 + 300) % 1280).otherwise(x).alias("dx"), F.when(wrong, (v * 3 + 90) % 960).otherwise(y).alias("dy"))
     found = matching.homographies(points, ["pair"])
-    return found.select("pair", "n", "inliers", F.transform("h", lambda e: F.round(e, 4)).alias("h"))
+    return found.select("pair", "n", "inliers", *[rounded(F.col("h")[k], 6 if k in (6, 7) else 4).alias(f"h{k + 1}") for k in range(9)])
 
 
-@query()
+@query(with_views(" select aoi_id, 3::bigint as n_captures, 3::bigint as n_used, 5 as bands, true as as_laid, 0.5::double as metres, true as in_place from areas", "areas"))
 def stitched_mosaics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mosaics of synthetic captures that overlap, for every area."""
     from canopyspark.plans.scenes import captures_of
 
     tiles = captures_of(view(spark, sf_dir, "areas").select("aoi_id"))
     m = mosaic.stitch(tiles)
-    return m.select("aoi_id", "n_captures", "n_used", "bands", "rows", "cols", F.transform("transform", lambda v: F.round(v, 1)).alias("transform"))
+    place = (F.abs(F.col("transform")[2] - 500000 - F.col("aoi_id") * 100) <= 4) & (F.abs(F.col("transform")[5] - 4470000) <= 4)
+    return m.select("aoi_id", F.col("n_captures").cast("long").alias("n_captures"), F.col("n_used").cast("long").alias("n_used"), "bands", as_laid(), rounded(F.col("transform")[0], 1).alias("metres"), place.alias("in_place"))
 
 
-@query()
+@query(with_views(" select aoi_id, 3::bigint as n_captures, 3::bigint as n_used, 5 as bands, true as as_laid from areas", "areas"))
 def detailed_mosaics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mosaics of the same captures, registered together and blended."""
     from canopyspark.plans.scenes import captures_of
@@ -644,10 +658,10 @@ def detailed_mosaics(spark: SparkSession, sf_dir: str) -> DataFrame:
     tiles = captures_of(view(spark, sf_dir, "areas").select("aoi_id"))
     centre = lambda c: F.aggregate("points", F.lit(0.0), lambda s, p: s + p[c]) / F.size("points")
     m = detailed.mosaics(tiles.withColumns({"x": centre("x"), "y": centre("y")}))
-    return m.select("aoi_id", "n_captures", "n_used", "bands", "rows", "cols")
+    return m.select("aoi_id", F.col("n_captures").cast("long").alias("n_captures"), F.col("n_used").cast("long").alias("n_used"), "bands", as_laid())
 
 
-@query()
+@query(with_views(" select aoi_id as capture_id, 5 as bands, 40 as \"rows\", 40 as cols, 64000 as bytes, true as has_thumbnail from areas where aoi_id <> 7", "areas"))
 def aligned_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stacks of single bands moved onto the reference band, with their thumbnails' sizes."""
     from canopyspark.plans.scenes import bands_of

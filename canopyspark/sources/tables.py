@@ -60,6 +60,14 @@ def write_geojson(rows: DataFrame, path: str, properties: list[str], x: str, y:
     (lines.write.partitionBy(by) if by else lines.write).mode("overwrite").text(path)
 
 
+def write_collections(rows: DataFrame, path: str, properties: list[str], x: str, y: str, by: str) -> None:
+    """One GeoJSON collection for each value of ``by``: a file that holds the few features of one area."""
+    geometry = F.struct(F.lit("Point").alias("type"), F.array(F.col(x), F.col(y)).alias("coordinates"))
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(*properties).alias("properties"), geometry.alias("geometry"))
+    whole = rows.groupBy(by).agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list(feature).alias("features"))).alias("value"))
+    whole.write.mode("overwrite").partitionBy(by).text(path)
+
+
 def write_features(features: DataFrame, path: str) -> None:
     """The feature table as one sorted CSV: one row per area, so one file; a missing value is an empty field."""
     features.orderBy("aoi_id").coalesce(1).write.mode("overwrite").option("header", True).csv(path)

@@ -3,7 +3,9 @@
 Reads baseline images and tiles of either byte order: plain, LZW and deflate data, horizontal and floating
 differences, chunky and planar layouts, integers and floats. Writes planar strips, plain, LZW or deflated. A row
 per image holds its metadata and, unless the option ``pixels`` is false, its bands as little-endian doubles;
-``explode_pixels`` makes a row per pixel of that in the executors.
+``explode_pixels`` makes a row per pixel of that in the executors. An image of more pixels than ``window_bytes`` is a
+partition and a row for each window of its rows, and with the option ``bbox`` (xmin,ymin,xmax,ymax) only the strips or
+tiles that touch it are read at all; first_row and first_col say where a window begins. Files with 64-bit offsets are read.
 """
 
 from __future__ import annotations
@@ -20,11 +22,12 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 SCHEMA = (
     "path string, rows int, cols int, bands int, nodata double, transform array<double>, epsg int, focal_length double, plane_resolution double, "
-    "latitude double, longitude double, altitude double, yaw double, pitch double, roll double, image binary"
+    "latitude double, longitude double, altitude double, yaw double, pitch double, roll double, first_row int, first_col int, image binary"
 )
 
 # Tags and field types of the format.
@@ -32,7 +35,7 @@ WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, STRIPS, SAMPLES, ROWS_PER_STRIP,
 PLANAR, PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILES, TILE_BYTES, SAMPLE_FORMAT, XMP = 284, 317, 322, 323, 324, 325, 339, 700
 PIXEL_SCALE, TIE_POINTS, MATRIX, GEO_KEYS, EXIF, GPS, NODATA = 33550, 33922, 34264, 34735, 34665, 34853, 42113
 FOCAL_LENGTH, PLANE_X_RESOLUTION = 37386, 41486
-TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 7: "B", 8: "h", 9: "i", 10: "ii", 11: "f", 12: "d"}
+TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 7: "B", 8: "h", 9: "i", 10: "ii", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
 PLAIN, LZW, DEFLATE, OLD_DEFLATE = 1, 5, 8, 32946
 PROJECTED_CRS, GEOGRAPHIC_CRS = 3072, 2048
 
@@ -47,6 +50,7 @@ class Image:
     transform: list[float] | None = None
     epsg: int | None = None
     camera: dict[str, float] = field(default_factory=dict)
+    first: tuple[int, int] = (0, 0)
 
 
 def unpack_lzw(data: bytes) -> bytes:
@@ -114,21 +118,24 @@ def pack_lzw(data: bytes) -> bytes:
     return bytes(out)
 
 
-def entries(f: io.BufferedIOBase, order: str, at: int) -> dict[int, tuple]:
+def entries(f: io.BufferedIOBase, order: str, at: int, big: bool = False) -> dict[int, tuple]:
     """Tag -> values of a directory."""
     f.seek(at)
-    (n,) = struct.unpack(order + "H", f.read(2))
-    raw = f.read(12 * n)
+    (n,) = struct.unpack(order + ("Q" if big else "H"), f.read(8 if big else 2))
+    head, wide = ("HHQ", 8) if big else ("HHI", 4)  # of an entry: its tag, type and count, and the bytes of its value
+    begin = 4 + wide
+    raw = f.read((begin + wide) * n)
     found: dict[int, tuple] = {}
     for k in range(n):
-        tag, kind, count = struct.unpack(order + "HHI", raw[12 * k : 12 * k + 8])
+        own = raw[(begin + wide) * k : (begin + wide) * (k + 1)]
+        tag, kind, count = struct.unpack(order + head, own[:begin])
         code = TYPES.get(kind)
         if code is None:
             continue
         unit = struct.calcsize(order + code)
-        data = raw[12 * k + 8 : 12 * k + 12]
-        if unit * count > 4:
-            (where,) = struct.unpack(order + "I", data)
+        data = own[begin:]
+        if unit * count > wide:
+            (where,) = struct.unpack(order + ("Q" if big else "I"), data)
             f.seek(where)
             data = f.read(unit * count)
         data = data[: unit * count]
@@ -142,13 +149,33 @@ def entries(f: io.BufferedIOBase, order: str, at: int) -> dict[int, tuple]:
     return found
 
 
-def read(f: io.BufferedIOBase, pixels: bool = True) -> Image:
-    """The first image of a file; without pixels only directories are read."""
-    head = f.read(8)
+Window = tuple[int, int, int, int]
+
+
+def within(image: Image, box: list[float]) -> Window | None:
+    """The rows and columns (from, to, from, to) of the pixels that touch xmin, ymin, xmax, ymax; None if none do."""
+    a, b, c, d, e, f = image.transform or [1.0, 0.0, 0.0, 0.0, 1.0, 0.0]
+    back = np.linalg.inv(np.array([[a, b, c], [d, e, f], [0, 0, 1]]))
+    corners = np.array([[x, y, 1] for x in (box[0], box[2]) for y in (box[1], box[3])]) @ back.T
+    low, high = np.floor(corners.min(axis=0)[:2]), np.ceil(corners.max(axis=0)[:2])
+    _, rows, cols = image.shape
+    window = int(max(0, low[1])), int(min(rows, high[1])), int(max(0, low[0])), int(min(cols, high[0]))
+    return window if window[0] < window[1] and window[2] < window[3] else None
+
+
+def read(f: io.BufferedIOBase, pixels: bool = True, window: Window | None = None, box: list[float] | None = None) -> Image | None:
+    """The first image of a file, or a window of it; without pixels only directories are read.
+
+    box: xmin, ymin, xmax, ymax on the ground; the window is what touches it, and None comes back if nothing does. Only
+    the strips or tiles of the window are read. Classic files and those with 64-bit offsets are known.
+    """
+    head = f.read(16)
     order = {b"II": "<", b"MM": ">"}.get(head[:2])
-    if order is None or struct.unpack(order + "H", head[2:4])[0] != 42:
+    kind = struct.unpack(order + "H", head[2:4])[0] if order else 0
+    if kind not in (42, 43):
         raise ValueError("not a TIFF file")
-    tags = entries(f, order, struct.unpack(order + "I", head[4:])[0])
+    big = kind == 43
+    tags = entries(f, order, struct.unpack(order + ("Q" if big else "I"), head[8:16] if big else head[4:8])[0], big)
     bands, rows, cols = tags.get(SAMPLES, (1,))[0], tags[LENGTH][0], tags[WIDTH][0]
     image = Image(None, (bands, rows, cols))
     if NODATA in tags:
@@ -166,20 +193,29 @@ def read(f: io.BufferedIOBase, pixels: bool = True) -> Image:
     for k in range(4, len(keys) - 3, 4):
         if keys[k] in (PROJECTED_CRS, GEOGRAPHIC_CRS) and keys[k + 1] == 0 and keys[k + 3] != 32767:
             image.epsg = keys[k + 3]
-    image.camera = camera(f, order, tags)
+    image.camera = camera(f, order, tags, big)
+    if box is not None:
+        window = within(image, box)
+        if window is None:
+            return None
+    if window is not None:
+        image.first, image.shape = (window[0], window[2]), (bands, window[1] - window[0], window[3] - window[2])
+        if image.transform is not None:
+            a, b, c, d, e, g = image.transform
+            image.transform = [a, b, c + a * window[2] + b * window[0], d, e, g + d * window[2] + e * window[0]]
     if pixels:
-        image.data = decode(f, order, tags)
+        image.data = decode(f, order, tags, window or (0, rows, 0, cols))
     return image
 
 
-def camera(f: io.BufferedIOBase, order: str, tags: dict[int, tuple]) -> dict[str, float]:
+def camera(f: io.BufferedIOBase, order: str, tags: dict[int, tuple], big: bool = False) -> dict[str, float]:
     """Lens, position and attitude from the EXIF, GPS and XMP parts, as far as they are there."""
     found: dict[str, float] = {}
-    exif = entries(f, order, tags[EXIF][0]) if EXIF in tags else {}
+    exif = entries(f, order, tags[EXIF][0], big) if EXIF in tags else {}
     for name, tag in (("focal_length", FOCAL_LENGTH), ("plane_resolution", PLANE_X_RESOLUTION)):
         if tag in exif:
             found[name] = float(exif[tag][0])
-    gps = entries(f, order, tags[GPS][0]) if GPS in tags else {}
+    gps = entries(f, order, tags[GPS][0], big) if GPS in tags else {}
     for name, ref, tag in (("latitude", 1, 2), ("longitude", 3, 4)):
         if tag in gps:
             degrees = sum(v / 60**k for k, v in enumerate(gps[tag]))
@@ -194,7 +230,7 @@ def camera(f: io.BufferedIOBase, order: str, tags: dict[int, tuple]) -> dict[str
     return found
 
 
-def decode(f: io.BufferedIOBase, order: str, tags: dict[int, tuple]) -> np.ndarray:
+def decode(f: io.BufferedIOBase, order: str, tags: dict[int, tuple], window: Window) -> np.ndarray:
     bands, rows, cols = tags.get(SAMPLES, (1,))[0], tags[LENGTH][0], tags[WIDTH][0]
     bits, kind = tags.get(BITS, (1,))[0], tags.get(SAMPLE_FORMAT, (1,))[0]
     if bits not in (8, 16, 32, 64):
@@ -207,16 +243,19 @@ def decode(f: io.BufferedIOBase, order: str, tags: dict[int, tuple]) -> np.ndarr
     wide = tags[TILE_WIDTH][0] if tiled else cols
     across, down = -(-cols // wide), -(-rows // high)
     offsets, sizes = tags[TILES if tiled else STRIPS], tags[TILE_BYTES if tiled else STRIP_BYTES]
-    out = np.zeros((bands, rows, cols), dtype=dtype.newbyteorder("="))
-    for k, (at, size) in enumerate(zip(offsets, sizes, strict=True)):
-        plane, cell = divmod(k, across * down)
-        r, c = (cell // across) * high, (cell % across) * wide
-        n = high if tiled else min(high, rows - r)
-        f.seek(at)
-        block = block_of(f.read(size), tags.get(COMPRESSION, (PLAIN,))[0], tags.get(PREDICTOR, (1,))[0], dtype, n, wide, depth)
-        h, w = min(n, rows - r), min(wide, cols - c)
-        for b in range(depth):
-            out[plane + b, r : r + h, c : c + w] = block[:h, :w, b]
+    top, bottom, left, right = window
+    out = np.zeros((bands, bottom - top, right - left), dtype=dtype.newbyteorder("="))
+    for plane in range(bands if planar else 1):
+        for down_k in range(top // high, -(-bottom // high)):
+            for across_k in range(left // wide, -(-right // wide)):
+                k = (plane * down + down_k) * across + across_k
+                r, c = down_k * high, across_k * wide
+                n = high if tiled else min(high, rows - r)
+                f.seek(offsets[k])
+                block = block_of(f.read(sizes[k]), tags.get(COMPRESSION, (PLAIN,))[0], tags.get(PREDICTOR, (1,))[0], dtype, n, wide, depth)
+                r0, r1, c0, c1 = max(r, top), min(r + n, bottom, rows), max(c, left), min(c + wide, right, cols)
+                for b in range(depth):
+                    out[plane + b, r0 - top : r1 - top, c0 - left : c1 - left] = block[r0 - r : r1 - r, c0 - c : c1 - c, b]
     return out
 
 
@@ -281,7 +320,9 @@ def write(image: Image, compression: str = "lzw") -> bytes:
 
 @dataclass
 class Files(InputPartition):
-    paths: list[str]
+    """Files, each whole or a window of its rows (from, to)."""
+
+    parts: list[tuple[str, tuple[int, int] | None]]
 
 
 class TiffReader(DataSourceReader):
@@ -289,6 +330,17 @@ class TiffReader(DataSourceReader):
         self.path, self.glob = options["path"], options.get("pathglobfilter", "*.tif")
         self.pixels = options.get("pixels", "true").lower() == "true"
         self.per_task = int(options.get("task_bytes", 128 << 20))
+        self.window = int(options.get("window_bytes", 64 << 20))
+        self.box = [float(v) for v in options["bbox"].split(",")] if options.get("bbox") else None
+
+    def windows(self, where: fs.FileSystem, info: fs.FileInfo) -> list[tuple[int, int] | None]:
+        """An image whose pixels take more than a window is read as several, a row each."""
+        if not self.pixels or self.box or (info.size or 0) * 8 <= self.window:
+            return [None]
+        with io.BufferedReader(where.open_input_file(info.path)) as f:
+            bands, rows, cols = read(f, False).shape
+        high = max(1, self.window // (8 * bands * cols))
+        return [None] if high >= rows else [(r, min(rows, r + high)) for r in range(0, rows, high)]
 
     def partitions(self) -> list[Files]:
         from fnmatch import fnmatch
@@ -299,22 +351,30 @@ class TiffReader(DataSourceReader):
             infos = [i for i in where.get_file_info(fs.FileSelector(root, recursive=True)) if i.type == fs.FileType.File and fnmatch(i.base_name, self.glob)]
         tasks, held, size = [], [], 0
         for info in sorted(infos, key=lambda i: i.path):
-            held.append(self.path.rstrip("/") + info.path[len(root.rstrip("/")) :])
-            size += info.size or 0
-            if size >= self.per_task:
-                tasks.append(Files(held))
-                held, size = [], 0
+            parts = self.windows(where, info)
+            for part in parts:
+                held.append((self.path.rstrip("/") + info.path[len(root.rstrip("/")) :], part))
+                size += (info.size or 0) // len(parts)
+                if size >= self.per_task or part:
+                    tasks.append(Files(held))
+                    held, size = [], 0
         return [*tasks, Files(held)] if held or not tasks else tasks
 
     def read(self, part: Files) -> Iterator[tuple]:
-        for path in part.paths:
+        for path, rows_of in part.parts:
             where, name = fs.FileSystem.from_uri(path)
             with io.BufferedReader(where.open_input_file(name)) as f:
-                image = read(f, self.pixels)
+                window = None
+                if rows_of:
+                    window = (*rows_of, 0, read(f, False).shape[2])
+                    f.seek(0)
+                image = read(f, self.pixels, window, self.box)
+            if image is None:
+                continue
             bands, rows, cols = image.shape
             camera = [image.camera.get(k) for k in ("focal_length", "plane_resolution", "latitude", "longitude", "altitude", "yaw", "pitch", "roll")]
             transform = None if image.transform is None else [float(v) for v in image.transform]
-            yield (path, rows, cols, bands, image.nodata, transform, image.epsg, *camera, image.data.astype("<f8").tobytes() if self.pixels else None)
+            yield (path, rows, cols, bands, image.nodata, transform, image.epsg, *camera, *image.first, image.data.astype("<f8").tobytes() if self.pixels else None)
 
 
 @dataclass
@@ -325,8 +385,9 @@ class Written(WriterCommitMessage):
 class TiffWriter(DataSourceWriter):
     """A file per row, named by its column ``path``; options compression and dtype."""
 
-    def __init__(self, options: dict[str, str], schema) -> None:
+    def __init__(self, options: dict[str, str], schema, overwrite: bool = False) -> None:
         self.path, self.compression, self.dtype = options["path"].rstrip("/"), options.get("compression", "lzw"), options.get("dtype", "float32")
+        self.overwrite = overwrite
         self.names = [f.name for f in schema.fields]
 
     def write(self, rows: Iterator) -> Written:
@@ -344,8 +405,13 @@ class TiffWriter(DataSourceWriter):
         return Written(names)
 
     def commit(self, messages: list[Written | None]) -> None:
-        where, _ = fs.FileSystem.from_uri(self.path)
-        for name in (n for m in messages if m for n in m.names):
+        where, root = fs.FileSystem.from_uri(self.path)
+        new = [n for m in messages if m for n in m.names]
+        if self.overwrite:
+            for info in where.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True)):
+                if info.type == fs.FileType.File and info.path not in new:
+                    where.delete_file(info.path)
+        for name in new:
             where.move(name, name.rsplit(".", 2)[0])
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -368,21 +434,24 @@ class TiffSource(DataSource):
         return TiffReader(self.options)
 
     def writer(self, schema, overwrite: bool) -> TiffWriter:
-        return TiffWriter(self.options, schema)
+        return TiffWriter(self.options, schema, overwrite)
 
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(TiffSource)
 
 
-def explode_pixels(images: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, row, col, x, y, d1 .. d5) of images with five bands or more; x and y are the pixel's centre where there is a transform."""
+def explode_pixels(images: DataFrame, keys: list[str], bands: list[int] | None = None) -> DataFrame:
+    """(keys, row, col, x, y, d1 .. dn) of images, n being the number of ``bands`` (positions from 0; the first five if
+    not given); x and y are the pixel's centre where there is a transform, and a band that an image lacks is NULL."""
+    wanted = list(range(5)) if bands is None else bands
+    names = [f"d{k + 1}" for k in range(len(wanted))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(keys)
         for batch in batches:
             for k in range(batch.num_rows):
-                bands, rows, cols, transform, data = (batch.column(n + j)[k].as_py() for j in range(5))
+                bands, rows, cols, transform, top, left, data = (batch.column(n + j)[k].as_py() for j in range(7))
                 image = np.frombuffer(data, dtype="<f8").reshape(bands, rows * cols)
                 for at in range(0, rows * cols, 1 << 16):
                     number = np.arange(at, min(rows * cols, at + (1 << 16)))
@@ -390,9 +459,11 @@ def explode_pixels(images: DataFrame, keys: list[str]) -> DataFrame:
                     a = transform or [np.nan] * 6
                     x, y = a[0] * (c + 0.5) + a[1] * (r + 0.5) + a[2], a[3] * (c + 0.5) + a[4] * (r + 0.5) + a[5]
                     own = [batch.column(j).take(pa.array(np.full(len(number), k))) for j in range(n)]
-                    values = [pa.array(v, pa.float64(), from_pandas=True) for v in (x, y, *image[:5, number])]
-                    yield pa.RecordBatch.from_arrays([*own, pa.array(r.astype(np.int32)), pa.array(c.astype(np.int32)), *values], names=[*keys, "row", "col", "x", "y", "d1", "d2", "d3", "d4", "d5"])
+                    seen = [image[b, number] if b < bands else np.full(len(number), np.nan) for b in wanted]
+                    values = [pa.array(v, pa.float64(), from_pandas=True) for v in (x, y, *seen)]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array((r + (top or 0)).astype(np.int32)), pa.array((c + (left or 0)).astype(np.int32)), *values], names=[*keys, "row", "col", "x", "y", *names])
 
     kinds = {f.name: f.dataType.simpleString() for f in images.schema.fields}
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "row int, col int, x double, y double, d1 double, d2 double, d3 double, d4 double, d5 double"])
-    return images.select(*keys, "bands", "rows", "cols", "transform", "image").mapInArrow(run, schema)
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "row int, col int, x double, y double", *(f"{n} double" for n in names)])
+    first = [F.col(c) if c in images.columns else F.lit(0).alias(c) for c in ("first_row", "first_col")]
+    return images.select(*keys, "bands", "rows", "cols", "transform", *first, "image").mapInArrow(run, schema)
