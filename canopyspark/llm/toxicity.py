@@ -53,6 +53,8 @@ REACH = 3
 WORD = re.compile(r"[^\W\d_]+")
 CLAUSE = re.compile(r"[.!?;:\n|]")
 MIN_PREFIX, MAX_PREFIX = 4, 8
+#: Words whose class one process remembers.
+CACHE = 500_000
 #: Least log-odds of a learned word, and how many standard errors it must be above zero.
 LEAST_WEIGHT, ERRORS = 1.5, 4.0
 #: Weight of the arc of an insult right after another. What context is worth, a target or a negation, is fitted by kind.
@@ -141,11 +143,9 @@ class Lexicon:
 
     def __post_init__(self) -> None:
         self.fixed = {w: (k, self.threats.get(w, 1.0) if k == THREAT else 1.0) for k, ws in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in ws}
-        whole = "|".join(sorted(map(re.escape, {*self.words, *THREATS}), key=len, reverse=True))
-        begun = "|".join(sorted(map(re.escape, self.prefixes), key=len, reverse=True))
-        #: Finds every clause that can emit anything: no other clause is read further.
-        self.trigger = re.compile(rf"\b(?:(?:{whole})\b" + (rf"|(?:{begun})\w" if begun else "") + ")")
         self.lengths = sorted({len(p) for p in self.prefixes})
+        #: Word -> class and weight, remembered.
+        self.known: dict[str, tuple[int, float]] = {}
 
     def word(self, w: str) -> tuple[int, float]:
         """Class and weight of a lower-case word."""
@@ -162,26 +162,32 @@ class Lexicon:
         """Summed weights of each kind that the clauses emit, and at the end the number of words."""
         found = np.zeros(len(KINDS) + 1)
         text = (text or "").lower()
+        found[-1] = text.count(" ") + text.count("\n") + 1
+        known = self.known
+        if len(known) > CACHE:
+            known.clear()
+        hits = set()  # the words of this text that can emit anything: no clause without one is read further
+        for w in set(WORD.findall(text)):
+            told = known.get(w)
+            if told is None:
+                told = known[w] = self.word(w)
+            if told[0] in (INSULT, THREAT):
+                hits.add(w)
+        if not hits:
+            return found
         table, out, arcs = GRAMMAR
-        done = 0
-        for hit in self.trigger.finditer(text):
-            if hit.start() < done:
+        for clause in CLAUSE.split(text):
+            words = WORD.findall(clause)
+            if hits.isdisjoint(words):
                 continue
-            # the clause around the hit; what precedes it was searched already
-            begin = done
-            for m in CLAUSE.finditer(text, done, hit.start()):
-                begin = m.end()
-            stop = CLAUSE.search(text, hit.end())
-            done = stop.start() if stop else len(text)
             state, weight = 0, 0.0
-            for m in WORD.finditer(text, begin, done):
-                kind, w = self.word(m[0])
+            for w in words:
+                kind, own = known[w]
                 if kind == THREAT:
-                    weight = w
+                    weight = own
                 emitted, arc, state = out[state][kind], arcs[state][kind], table[state][kind]
                 if emitted >= 0:
-                    found[emitted] += arc * (w if kind == INSULT else weight)
-        found[-1] = text.count(" ") + text.count("\n") + 1
+                    found[emitted] += arc * (own if kind == INSULT else weight)
         return found
 
 
