@@ -125,3 +125,12 @@ def test_names(spark):
     assert value(spark, text.ratio_grid(), x=1) == [0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5]
     df = spark.createDataFrame([(1,), (2,), (3,), (4,)], "v int")
     assert df.agg(text.upper_median("v").alias("m")).first().m == 3 and df.where("v < 4").agg(text.upper_median("v").alias("m")).first().m == 2
+
+
+def test_published_points_of_the_projection(spark):
+    """Meridian arcs of WGS 84 (45 degrees: 4,984,944.378 m) by the scale 0.9996, and the equator three degrees off the meridian."""
+    points = spark.createDataFrame([(-87.0, 0.0), (-87.0, 45.0), (-84.0, 0.0), (-90.0, 0.0)], "lon double, lat double")
+    east, north = geodesy.forward(F.col("lon"), F.col("lat"))
+    found = [(x.e, x.n) for x in points.select(east.alias("e"), north.alias("n")).collect()]
+    assert found[0] == pytest.approx((500000, 0), abs=1e-6) and found[1] == pytest.approx((500000, 4984944.378 * 0.9996), abs=2e-3)
+    assert found[2] == pytest.approx((833978.557, 0), abs=2e-3) and found[3] == pytest.approx((166021.443, 0), abs=2e-3)
