@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Tasks that the rows of a hot value are dealt to where what is told of it may be wide.
+SALTS = 32
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
@@ -46,18 +49,24 @@ def hot_keys(rows: DataFrame, keys: list[str], total: int | None = None, share:
     return None if found.isEmpty() else found
 
 
-def join_each(rows: DataFrame, told: DataFrame, keys: list[str], hot: DataFrame | None | str = "sought") -> DataFrame:
+def join_each(rows: DataFrame, told: DataFrame, keys: list[str], hot: DataFrame | None | str = "sought", by: list[str] | None = None) -> DataFrame:
     """The inner join of ``rows`` with ``told``, which has one row for each value of ``keys``.
 
     A value that holds a large share of the rows is not dealt to one task: what is told of such values, ``share``
-    rows of hot_keys() at most, goes to every task, and the other rows are joined by a shuffle. ``rows`` is read
-    several times, so it should be kept.
+    rows of hot_keys() at most, goes to every task, and the other rows are joined by a shuffle. Where what is told can be
+    wide (texts, sets), ``by`` names columns of ``rows``: their hash then deals the rows of such a value to SALTS tasks, and
+    what is told of it goes to these by a shuffle. ``rows`` is read several times, so it should be kept.
     """
     hot = hot_keys(rows, keys) if isinstance(hot, str) else hot
     if hot is None:
         return rows.join(told, keys)
     few = F.broadcast(hot)
-    return rows.join(F.broadcast(told.join(few, keys, "left_semi")), keys).unionByName(rows.join(few, keys, "left_anti").join(told, keys))
+    cold = rows.join(few, keys, "left_anti").join(told, keys)
+    if by is None:
+        return rows.join(F.broadcast(told.join(few, keys, "left_semi")), keys).unionByName(cold)
+    dealt = rows.join(few, keys, "left_semi").withColumn("salt of a hot key", F.pmod(F.xxhash64(*by), F.lit(SALTS)))
+    copies = told.join(few, keys, "left_semi").withColumn("salt of a hot key", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return dealt.join(copies, [*keys, "salt of a hot key"]).drop("salt of a hot key").unionByName(cold)
 
 
 def components(edges: DataFrame) -> DataFrame:
