@@ -43,6 +43,8 @@ from tokenizers import Regex
 from tokenizers.normalizers import Lowercase
 from tokenizers.pre_tokenizers import Split
 
+from canopyspark.llm.common import bounded
+
 #: Characters that are read at once, at least; a block ends at white space.
 BLOCK = 1 << 16
 #: Pieces that the cache of one process holds.
@@ -408,7 +410,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 ids = np.frombuffer(b"".join(c.encode(batch.column(1)[k].as_py())), dtype="<u4").astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.ListArray.from_arrays([0, len(ids)], pa.array(ids))], names=["doc_id", "ids"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids array<int>")
 
 
@@ -448,5 +450,5 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                 back.append(theirs.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

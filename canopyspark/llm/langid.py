@@ -24,6 +24,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from canopyspark.llm.common import bounded
+
 MAX_N = 4
 BITS = 16
 BUCKETS = 1 << BITS
@@ -182,13 +184,13 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             names, score = best(batch.column(1).to_pylist(), shared.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def fitted(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_rows: int) -> Model:
     """A model from about ``sample_rows`` rows with a language whose id is not in the held-out fold (crc32 mod 4 = 2)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     usable = rows.where((fold("doc_id", 4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     return train(sample(usable, "doc_id", sample_rows), "text", "lang")
 

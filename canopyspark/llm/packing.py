@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from canopyspark.llm.bpe import byte_letters
-from canopyspark.llm.common import cut
+from canopyspark.llm.common import bounded, cut
 
 SALTS = 128
 #: The byte-level pre-tokenisation of the vocabulary: a fixed value.
@@ -239,7 +239,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end: int = 0, id_col: str
             k, p, start, length, crc = (np.array(c, dtype=np.int64) for c in zip(*rows, strict=True)) if rows else [np.zeros(0, np.int64)] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(k)), pa.array(p.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopyspark.llm.common import components, cut, join_each, stable
+from canopyspark.llm.common import bounded, components, cut, join_each, stable
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 SEED = 42
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), *batch.columns[1:]], names=["fp", *batch.schema.names[1:]])
 
     own = [F.col(id_col).cast("long").alias("doc_id"), *([F.col(carry).cast("long").alias(carry)] if carry else [])]
-    rows = docs.select(F.col(text_col).cast("string").alias("text"), *own)
+    rows = bounded(docs).select(F.col(text_col).cast("string").alias("text"), *own)
     return rows.mapInArrow(run, "fp long, doc_id long" + (f", {carry} long" if carry else ""))
 
 

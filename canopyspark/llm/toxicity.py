@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canopyspark.llm.common import cut
+from canopyspark.llm.common import bounded, cut
 
 # Seed words of each class.
 INSULTS = "idiot idiots moron morons stupid loser losers scum trash pathetic worthless disgusting clown dumb imbecile bastard".split()
@@ -313,7 +313,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     shares = {c: min(1.0, sample_rows / 2 / max(1, n.get(c, 0))) for c in (0, 1)}
     place = F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1 << 40))
     chosen = labels.where(place < F.when(F.col("toxic") == 1, int(shares[1] * (1 << 40))).otherwise(int(shares[0] * (1 << 40))))
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # the sample's ids are bounded by sample_rows, so they can be sent to every task
     return learn(cut(docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")), shares)
 
@@ -326,7 +326,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             found = np.array([model.score(t.as_py()) for t in batch.column(1)], dtype=float)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), pa.array((found >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double, predicted int")
 
 
