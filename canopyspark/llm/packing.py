@@ -51,7 +51,16 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: and its merging of one piece takes time with the square of the length.
 LONGEST = 4096
 #: What may hold a longer piece: a run of white space, of letters, of numbers or of other characters.
-LONG_RUN = re.compile(rf"\s{{{LONGEST},}}|[^\W\d_]{{{LONGEST},}}|\d{{{LONGEST},}}|[^\s\w]{{{LONGEST},}}|(?:[^\s\w]|_){{{LONGEST},}}|\w{{{LONGEST},}}")
+KINDS = (r"\s", r"[^\W\d_]", r"\d", r"[^\s\w]", r"(?:[^\s\w]|_)", r"\w")
+LONG_RUN = re.compile("|".join(f"{k}{{{LONGEST},}}" for k in KINDS))
+#: Such a run covers one of the text's blocks of half its length; a block in plain text is left at its first blank.
+HALF = LONGEST // 2
+BLOCK_RUN = re.compile("|".join(f"{k}{{{HALF}}}" for k in KINDS))
+
+
+def long_run(text: str) -> bool:
+    """Whether LONG_RUN is found; only texts with a block of one kind are searched whole."""
+    return any(BLOCK_RUN.match(text, at) for at in range(0, len(text) - HALF + 1, HALF)) and LONG_RUN.search(text) is not None
 
 
 @lru_cache(2)
@@ -65,7 +74,7 @@ def exact(path: str) -> Tokenizer:
 
 def encoded(path: str, text: str) -> list[int]:
     """The ids of a text: by the faster library, or by the tokenizers library where a run of one kind of character is very long."""
-    if len(text) >= LONGEST and LONG_RUN.search(text):
+    if long_run(text):
         return exact(path).encode(text, add_special_tokens=False).ids
     return tokenizer(path).encode(text, allowed_special="all")
 
