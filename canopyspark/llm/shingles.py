@@ -1,8 +1,10 @@
-"""Near-duplicates by the real similarity of their word shingles, found by prefix filtering.
+"""Near-duplicates by the real similarity of their word shingles, found by SimHash and then by prefix filtering.
 
 A text is lower-cased (A-Z only) and cut into words at ASCII white space, as in ``simhash``. Two texts
 link if the Jaccard similarity of their sets of word shingles is LEAST or more; components of links are
-groups of near-duplicates. No link is missed: sets of similarity LEAST share a shingle among the first
+groups of near-duplicates. Texts that ``simhash.near_duplicates`` puts into one component are compared first, with
+their whole sets, and those that are similar need no further comparison with each other. Fingerprints of texts of a
+similarity of 0.8 differ in more bits than blocks can find, so the rest is found by prefixes. No link is missed: sets of similarity LEAST share a shingle among the first
 n - ceil(LEAST n) + 1 of their n shingles in any fixed order, so only texts that meet at one of these
 are compared, with their whole sets, and of these only pairs whose remaining shingles can still reach the
 overlap. The order puts rare shingles first, by counts over all texts, which keeps what many texts have
@@ -14,16 +16,18 @@ a shingle give one shingle of all words. Shingles, and sets as wholes, are compa
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from canopyspark.llm import simhash
 from canopyspark.llm.common import bounded, components, cut, hot_keys, join_each, stable
 from canopyspark.llm.simhash import LOWER, SEED
 
@@ -153,6 +157,20 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return told(near, [("found", F.col("found"))]).where(both * LEAST[1] >= every * LEAST[0]).select("src", "dst")
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the shuffle files and checkpoints that nothing refers to any more: Spark does so when the driver collects its garbage, which a driver with memory to spare puts off until disks are full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def close(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, head): nodes that SimHash puts into one component, each with the component's first; whether they are similar is not known yet."""
+    texts = only(rows, "row", nodes.select("row"), lambda batches: batches, rows.schema).select(F.col("row").alias("doc_id"), "text")
+    found = cut(simhash.near_duplicates(texts).where("doc_id <> component_id").select(F.col("doc_id").alias("row"), "component_id"))
+    named = cut(found.join(nodes, "row").select("node", "component_id"))
+    return cut(join_each(named, nodes.select(F.col("row").alias("component_id"), F.col("node").alias("head")), ["component_id"]).select("node", "head"))
+
+
 def meet(a: str, b: str) -> Column:
     """A pair can be similar if this shingle is the first that both have: what is left of either set from its place on must reach the overlap."""
     left = F.least(F.col(f"{a}_size") - F.col(f"{a}_place"), F.col(f"{b}_size") - F.col(f"{b}_place"))
@@ -162,7 +180,8 @@ def meet(a: str, b: str) -> Column:
 def links(rows: DataFrame, nodes: DataFrame, order: np.ndarray, words: int = WORDS, hot: int = 64) -> DataFrame:
     """Edges (src, dst) whose components are those of all similar pairs of nodes.
 
-    rows: (row, text); nodes: (node, row), one row of ``rows`` for each distinct set; order: what table() returns. In groups of more than
+    rows: (row, text); nodes: (node, row), one row of ``rows`` for each distinct set; order: what table() returns. Nodes that close()
+    joins are compared first, and others only if no link joins them by that. In groups of more than
     ``hot`` nodes at one shingle all are compared with one of them first, and then only those that are not in
     one component yet. A pair is compared only where the places of a shingle they share leave room for the
     overlap; at the first one they share, a similar pair's do.
@@ -180,6 +199,8 @@ def links(rows: DataFrame, nodes: DataFrame, order: np.ndarray, words: int = WOR
     # one row for each distinct set, so copies need no further look; a shingle that many have is counted where it stands
     keyed = cut(only(rows, "row", nodes.select("row"), begin, "token long, node long, size int, place int"))
     grouped = cut(join_each(keyed, keyed.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), ["token"]))
+    del keyed
+    release(spark)
 
     def pairs(members: DataFrame, extra: list[str]) -> DataFrame:
         a, b = (members.select("token", *[F.col(c).alias(f"{end}_{c}") for c in ("node", "size", "place", *extra)]) for end in ("src", "dst"))
@@ -203,6 +224,16 @@ def links(rows: DataFrame, nodes: DataFrame, order: np.ndarray, words: int = WOR
         kept = cut(only(rows, "row", chosen, sets, "node long, parity array<long>, found array<long>"))
         return cut(similar(wanted, kept))
 
+    near = close(rows, nodes).withColumns({"src": F.least("node", "head"), "dst": F.greatest("node", "head")})
+    linked = verified(near.select("src", "dst"))
+    group = cut(near.join(linked, ["src", "dst"], "left_semi").select("node", F.col("head").alias("group")))
+    release(spark)
+
+    def unlinked(wanted: DataFrame) -> DataFrame:
+        of = {end: group.select(F.col("node").alias(end), F.col("group").alias(f"{end}_group")) for end in ("src", "dst")}
+        both = wanted.join(of["src"], "src", "left").join(of["dst"], "dst", "left")
+        return both.where(F.coalesce("src_group", "src") != F.coalesce("dst_group", "dst")).select("src", "dst")
+
     large = cut(grouped.where(F.col("n") > hot))
     # first the one with most large groups, whose shingles are not its own
     often_in = large.groupBy("node").agg((-F.count("*")).alias("often"))
@@ -210,10 +241,13 @@ def links(rows: DataFrame, nodes: DataFrame, order: np.ndarray, words: int = WOR
     stars = join_each(large, leaders.select("token", *[F.col(f"leader.{c}").alias(f"leader_{c}") for c in ("node", "size", "place")]), ["token"])
     stars = stars.withColumnsRenamed({"size": "own_size", "place": "own_place"}).where((F.col("node") != F.col("leader_node")) & fits(F.col("own_size"), F.col("leader_size")) & meet("own", "leader"))
     stars = stars.select(F.least("node", "leader_node").alias("src"), F.greatest("node", "leader_node").alias("dst"))
-    first = verified(pairs(grouped.where(F.col("n") <= hot), []).union(stars).distinct())
+    first = verified(unlinked(pairs(grouped.where(F.col("n") <= hot), []).union(stars).distinct())).union(linked)
+    del grouped, stars, leaders, often_in
+    release(spark)
     if large.isEmpty():
         return first
     labels = components(first).withColumnRenamed("label", "group")
+    release(spark)
     named = cut(large.drop("n").join(labels, "node", "left").withColumn("group", F.coalesce("group", "node")))
     mixed = named.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("token")
     rest = pairs(join_each(named, mixed, ["token"]), ["group"])
@@ -251,7 +285,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked = both.where("part is null").select("row", "own", "node")
     nodes = cut(marked.groupBy("node").agg(F.min("row").alias("row")))
     order = table(both.where("part is not null").select("part", "salt", "counts"))
-    labels = components(links(rows, nodes, order, words, hot))
+    release(docs.sparkSession)
+    edges = links(rows, nodes, order, words, hot)
+    release(docs.sparkSession)
+    labels = components(edges)
     first = F.min(F.struct(F.col("own").isNull().alias("none"), F.col("own").alias("own"), F.col("row").alias("row")))
     # the first of each distinct set, and then of each group of sets
     of_set = marked.groupBy("node").agg(first.alias("first"))

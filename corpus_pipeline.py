@@ -28,7 +28,10 @@ def drop_no_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates: five-word shingles, a similarity of 0.8 or more."""
+    """The document with the smallest id of each group of near-duplicates: five-word shingles, a similarity of 0.8 or more.
+
+    SimHash components are checked with the whole sets, and what fingerprints cannot tell is found by prefixes.
+    """
     return shingles.one_of_each(docs)
 
 
