@@ -33,7 +33,7 @@ def stacks(spark: SparkSession, sf_dir: str) -> DataFrame:
                 rows.append((f"area_{a}.tif", SIDE, SIDE, 5, NODATA, [METRES, 0.0, x, 0.0, -METRES, y], 32616, image.tobytes()))
             yield pd.DataFrame(rows, columns=["path", "rows", "cols", "bands", "nodata", "transform", "epsg", "image"])
 
-    areas = view(spark, sf_dir, "areas").select("aoi_id", "ax", "ay")
+    areas = view(spark, sf_dir, "areas").select("aoi_id", "ax", "ay").repartition(4 * spark.sparkContext.defaultParallelism)  # few bytes, many files
     return areas.mapInPandas(run, "path string, rows int, cols int, bands int, nodata double, transform array<double>, epsg int, image binary")
 
 
