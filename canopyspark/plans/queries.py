@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -183,8 +184,9 @@ def index_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def merged_photo_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Moments of each photo, merged per area."""
-    parts = statistics.mergeable(view(spark, sf_dir, "pixels"), ["aoi_id", "photo_id"])
-    return at_six(statistics.merged(parts, ["aoi_id"]))
+    pixels = view(spark, sf_dir, "pixels").drop("px")
+    found = [statistics.merged(statistics.mergeable(part, ["aoi_id", "photo_id"]), ["aoi_id"]) for part in statistics.dealt(pixels, ["aoi_id"])]
+    return at_six(reduce(DataFrame.unionByName, found))
 
 
 @query(with_views(BANDS_SQL + f" select aoi_id, round(min({INDEX_SQL['rdvi']}), 6) + 0.0::double as least, round(max({INDEX_SQL['rdvi']}), 6) + 0.0::double as most from masked group by aoi_id", "pixels"))
