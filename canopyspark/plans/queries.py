@@ -644,10 +644,10 @@ def estimated_homographies(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_views(" select aoi_id, 3::bigint as n_captures, 3::bigint as n_used, 5 as bands, true as as_laid, 0.5::double as metres, true as in_place from areas", "areas"))
 def stitched_mosaics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mosaics of synthetic captures that overlap, for every area."""
-    from canopyspark.plans.scenes import captures_of
+    from canopyspark.plans.scenes import captures_of, read
 
     tiles = captures_of(view(spark, sf_dir, "areas").select("aoi_id"))
-    m = mosaic.stitch(tiles)
+    m = mosaic.stitch(tiles, read=read)
     place = (F.abs(F.col("transform")[2] - 500000 - F.col("aoi_id") * 100) <= 4) & (F.abs(F.col("transform")[5] - 4470000) <= 4)
     return m.select("aoi_id", F.col("n_captures").cast("long").alias("n_captures"), F.col("n_used").cast("long").alias("n_used"), "bands", as_laid(), rounded(F.col("transform")[0], 1).alias("metres"), place.alias("in_place"))
 
@@ -655,11 +655,11 @@ def stitched_mosaics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_views(" select aoi_id, 3::bigint as n_captures, 3::bigint as n_used, 5 as bands, true as as_laid from areas", "areas"))
 def detailed_mosaics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mosaics of the same captures, registered together and blended."""
-    from canopyspark.plans.scenes import captures_of
+    from canopyspark.plans.scenes import captures_of, read
 
     tiles = captures_of(view(spark, sf_dir, "areas").select("aoi_id"))
     centre = lambda c: F.aggregate("points", F.lit(0.0), lambda s, p: s + p[c]) / F.size("points")
-    m = detailed.mosaics(tiles.withColumns({"x": centre("x"), "y": centre("y")}))
+    m = detailed.mosaics(tiles.select("aoi_id", "seq", centre("x").alias("x"), centre("y").alias("y")), read)
     return m.select("aoi_id", F.col("n_captures").cast("long").alias("n_captures"), F.col("n_used").cast("long").alias("n_used"), "bands", as_laid())
 
 
