@@ -90,7 +90,10 @@ def table(counted: DataFrame) -> np.ndarray:
     total = np.zeros(BUCKETS, dtype=np.uint64)
     for k, counts in zip(told.column("part").to_pylist(), told.column("counts").to_pylist(), strict=True):
         total[k * PART : (k + 1) * PART] += np.frombuffer(zlib.decompress(counts), dtype=np.uint64)
-    return np.rint(64 * np.log2(total + 1.0)).astype(np.uint16)
+    order = np.empty(BUCKETS, dtype=np.uint16)
+    for at in range(0, BUCKETS, PART):  # in parts, so that the driver holds no table of floats
+        order[at : at + PART] = np.rint(64 * np.log2(total[at : at + PART] + 1.0))
+    return order
 
 
 def bits(rows: DataFrame) -> DataFrame:
@@ -164,8 +167,12 @@ def release(spark: SparkSession) -> None:
 
 
 def close(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, head): nodes that SimHash puts into one component, each with the component's first; whether they are similar is not known yet."""
-    texts = only(rows, "row", nodes.select("row"), lambda batches: batches, rows.schema).select(F.col("row").alias("doc_id"), "text")
+    """(node, head): nodes that SimHash puts into one component, each with the component's first; whether they are similar is not known yet.
+
+    SimHash gets copies too: a node's row is the first of its copies, so it is that of a component. Leaving them out
+    would take a Python worker before SimHash's own in each task, and executors keep every worker.
+    """
+    texts = rows.select(F.col("row").alias("doc_id"), "text")
     found = cut(simhash.near_duplicates(texts).where("doc_id <> component_id").select(F.col("doc_id").alias("row"), "component_id"))
     named = cut(found.join(nodes, "row").select("node", "component_id"))
     return cut(join_each(named, nodes.select(F.col("row").alias("component_id"), F.col("node").alias("head")), ["component_id"]).select("node", "head"))

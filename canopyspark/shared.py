@@ -5,11 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Tasks that the rows of a hot value are dealt to where what is told of it may be wide.
 SALTS = 32
+#: Edges that the driver labels by itself at most: 4 MB.
+FEW = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -69,14 +73,37 @@ def join_each(rows: DataFrame, told: DataFrame, keys: list[str], hot: DataFrame
     return dealt.join(copies, [*keys, "salt of a hot key"]).drop("salt of a hot key").unionByName(cold)
 
 
+def labelled(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of these edges, sorted, and the smallest node of each one's component."""
+    nodes, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    a, b = at[: len(src)], at[len(src) :]
+    label = np.arange(len(nodes))
+    while len(a):
+        # the larger label of each edge is lowered to the smaller, and labels are then followed to their ends
+        x, y = label[a], label[b]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+    return nodes, nodes[label]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of ``edges`` (src, dst long); label is the component's smallest node.
 
-    Minimum propagation with pointer jumping: each round takes the smallest label among a node's
+    Up to FEW edges are labelled by the driver, which spares it and the disks the many small jobs of rounds. More go
+    through rounds. Minimum propagation with pointer jumping: each round takes the smallest label among a node's
     neighbours and then that label's own label, so a chain of n nodes needs about log n rounds. A node with very
     many neighbours, and a label that very many nodes share, are joined apart (join_each). No edges: an empty table.
     """
     edges = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("src <> dst")
+    edges = cut(edges)
+    if edges.count() <= FEW:
+        told = edges.toArrow()
+        names = ["node", "label"]
+        found = pa.table([pa.array(x) for x in labelled(told.column("src").to_numpy(), told.column("dst").to_numpy())], names=names)
+        return cut(edges.sparkSession.createDataFrame(found, "node long, label long"))
     both = cut(edges.union(edges.select("dst", "src")).distinct())
     labels = cut(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("least")).select("node", F.least("node", "least").alias("label")))
     nodes = labels.count()
